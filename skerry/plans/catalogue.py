@@ -1,4 +1,419 @@
 """The engine's registered queries and their DuckDB counterparts."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skerry.functions import scalar as S
+from skerry.functions import semantics as M
+from skerry.operators import collections as C
+from skerry.operators import hygiene as H
+from skerry.operators import pipeline as P
+from skerry.operators import tables as T
+from skerry.plans import relational
+from skerry.session import table
+from skerry.streaming import incremental
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(relational.QUERIES)
+ORACLES: dict[str, str] = dict(relational.ORACLES)
+
+
+def register(oracle: str | None = None) -> Callable:
+    def add(fn: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[fn.__name__] = fn
+        if oracle:
+            ORACLES[fn.__name__] = oracle
+        return fn
+
+    return add
+
+
+# --- expression semantics
+@register("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (l_partkey - 1000) // 7 AS q FROM lineitem WHERE l_orderkey < 200")
+def int_division(spark: SparkSession, d: str) -> DataFrame:
+    q = M.int_div(F.col("l_partkey") - 1000, F.lit(7))
+    return table(spark, d, "lineitem").filter("l_orderkey < 200").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", q.alias("q"))
+
+
+@register("SELECT o_orderkey, CASE WHEN NULLIF(o_custkey % 3, 0) IS NULL THEN NULL ELSE o_custkey BETWEEN 10 AND 400 * NULLIF(o_custkey % 3, 0) END AS inside FROM orders")
+def between_3vl(spark: SparkSession, d: str) -> DataFrame:
+    high = F.lit(400) * F.nullif(F.col("o_custkey") % 3, F.lit(0))
+    return table(spark, d, "orders").select("o_orderkey", M.between3(F.col("o_custkey"), F.lit(10), high).alias("inside"))
+
+
+@register("SELECT p_partkey FROM part WHERE p_name ILIKE '%A_E%' OR p_type ILIKE 'st%'")
+def like_ci(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").filter(M.like(F.col("p_name"), "%A_E%") | M.like(F.col("p_type"), "st%")).select("p_partkey")
+
+
+@register("SELECT p_partkey FROM part WHERE p_brand ILIKE '%#1%'")
+def like_escape(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").filter(M.like(F.col("p_brand"), "%!#1%", "!")).select("p_partkey")
+
+
+@register("SELECT 0 AS total, 0 AS n, NULL::DOUBLE AS mean")
+def agg_empty_input(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "orders").filter("o_orderkey < 0")
+    return rows.agg(M.sum0(F.col("o_custkey")).cast("int").alias("total"), F.count("*").alias("n"), F.avg("o_totalprice").alias("mean"))
+
+
+@register("SELECT o_orderpriority, CAST(round_even(SUM(CAST(o_totalprice AS DECIMAL(18,2))) / COUNT(*), 4) AS DOUBLE) AS mean FROM orders GROUP BY o_orderpriority")
+def decimal_avg(spark: SparkSession, d: str) -> DataFrame:
+    mean = M.avg_decimal(F.col("o_totalprice").cast("decimal(18,2)"), 4).cast("double")
+    return table(spark, d, "orders").groupBy("o_orderpriority").agg(mean.alias("mean"))
+
+
+@register("SELECT event_id FROM events WHERE CAST(floor(value) AS BIGINT) % 5 <> 0")
+def truthy_filter(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").filter(M.truthy(F.floor("value") % 5, "bigint")).select("event_id")
+
+
+@register("SELECT p_partkey, CAST(p_size AS INTEGER) AS whole, CAST(p_size AS SMALLINT) AS tiny FROM part")
+def strict_cast(spark: SparkSession, d: str) -> DataFrame:
+    size = F.col("p_size")
+    return table(spark, d, "part").select("p_partkey", M.strict_int(size.cast("double"), "int").alias("whole"), M.tinyint(size).alias("tiny"))
+
+
+_MIXED = "CASE WHEN c_custkey % 2 = 0 THEN lower(c_mktsegment) ELSE c_mktsegment END"
+
+
+@register(f"SELECT upper({_MIXED}) AS segment, COUNT(*) AS n, COUNT(DISTINCT upper({_MIXED})) AS names FROM customer GROUP BY upper({_MIXED})")
+def collate_group(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "customer").withColumn("mixed", F.expr(_MIXED)).withColumn("segment", M.collation_key(F.col("mixed"), "NOCASE"))
+    return rows.groupBy("segment").agg(F.count("*").alias("n"), F.count_distinct("segment").alias("names"))
+
+
+@register(f"SELECT a.c_custkey AS a_key, COUNT(*) AS n FROM customer a JOIN customer b ON upper({_MIXED.replace('c_', 'a.c_')}) = upper(lower(b.c_mktsegment)) AND a.c_nationkey = b.c_nationkey WHERE a.c_custkey < 100 GROUP BY a.c_custkey")
+def collate_join(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer")
+    a = c.filter("c_custkey < 100").select(F.col("c_custkey").alias("a_key"), "c_nationkey", M.collation_key(F.expr(_MIXED), "NOCASE").alias("k"))
+    b = c.select("c_nationkey", M.collation_key(F.lower("c_mktsegment"), "NOCASE").alias("k"))
+    return a.join(b, ["c_nationkey", "k"]).groupBy("a_key").agg(F.count("*").alias("n"))
+
+
+@register("SELECT o_orderkey, CASE WHEN p > 0 AND p <= n THEN prev ELSE -1 END AS back FROM (SELECT o_orderkey, rn - off AS p, n, (SELECT i.o_orderkey FROM ranked i WHERE i.o_custkey = r.o_custkey AND i.rn = r.rn - r.off) AS prev FROM (SELECT 1) x, (SELECT * FROM ranked) r)".replace("FROM (SELECT o_orderkey, rn", "FROM (WITH ranked AS (SELECT o_orderkey, o_custkey, o_orderkey % 3 AS off, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) SELECT o_orderkey, rn"))
+def win_lag_dynamic(spark: SparkSession, d: str) -> DataFrame:
+    """LAG by an offset that differs by row: a self-join on the row number."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    r = table(spark, d, "orders").select("o_orderkey", "o_custkey", (F.col("o_orderkey") % 3).alias("off"), F.row_number().over(w).alias("rn"))
+    to = r.select("o_custkey", F.col("rn").cast("long").alias("at"), F.col("o_orderkey").alias("prev"), F.lit(True).alias("found"))
+    asked = r.withColumn("at", F.col("rn") - F.col("off"))
+    out = asked.join(to, ["o_custkey", "at"], "left")
+    return out.select("o_orderkey", F.when(F.col("found"), F.col("prev")).otherwise(-1).alias("back"))
+
+
+# --- scalar functions
+@register("SELECT o_orderkey, coalesce(s, 'NULL') AS t, CASE WHEN s IS NULL OR s = '' THEN 'none' ELSE s END AS z, CAST(s IS NULL AS INTEGER) AS isn, CASE WHEN o_custkey > 500 THEN 'hi' ELSE 'lo' END AS f, CASE WHEN o_custkey > 1000 THEN 'c' WHEN o_custkey > 500 THEN 'b' END AS sw, CASE o_orderkey % 4 WHEN 1 THEN 'one' WHEN 2 THEN 'two' END AS ch, coalesce(s, '?') AS c FROM (SELECT *, NULLIF(o_orderstatus, 'O') AS s FROM orders)")
+def fn_null_choice(spark: SparkSession, d: str) -> DataFrame:
+    s, k = F.nullif(F.col("o_orderstatus"), F.lit("O")), F.col("o_custkey")
+    return table(spark, d, "orders").select(
+        "o_orderkey", S.text(s).alias("t"), S.nz(s, "none").alias("z"), S.isnull(s).alias("isn"),
+        S.iif(k > 500, F.lit("hi"), F.lit("lo")).alias("f"), S.switch(k > 1000, F.lit("c"), k > 500, F.lit("b")).alias("sw"),
+        S.choose(F.col("o_orderkey") % 4, F.lit("one"), F.lit("two")).alias("ch"), S.ifnull(s, F.lit("?")).alias("c"),
+    )
+
+
+@register("SELECT p_partkey, CAST(length(p_name) AS INTEGER) AS n, left(p_name, 3) AS l, right(p_name, 4) AS r, upper(p_name) AS u, lower(p_brand) AS w, trim('  ' || p_name || chr(9)) AS t, replace(p_name, 'a', '') AS x FROM part")
+def fn_text(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("p_name")
+    padded = F.concat(F.lit("  "), n, F.lit("\t"))
+    return table(spark, d, "part").select(
+        "p_partkey", S.length(n).alias("n"), S.left(n, 3).alias("l"), S.right(n, 4).alias("r"), F.upper(n).alias("u"),
+        F.lower("p_brand").alias("w"), S.trim(padded).alias("t"), S.replace(n, "a", None).alias("x"),
+    )
+
+
+ORACLES["fn_text"] = ORACLES["fn_text"].replace("trim('  ' || p_name || chr(9))", "trim('  ' || p_name || chr(9), ' ' || chr(9))")
+
+
+@register("SELECT p_partkey, substring(p_name, greatest(p_size - 10, 1), 4) AS m, substring(p_name, 3) AS rest FROM part")
+def fn_mid_clamp(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("p_name")
+    return table(spark, d, "part").select("p_partkey", S.mid(n, F.col("p_size") - 10, 4).alias("m"), S.mid(n, 3).alias("rest"))
+
+
+@register("SELECT p_partkey, CAST(instr(lower(p_type), 'e') AS INTEGER) AS at FROM part")
+def fn_instr(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", S.instr(F.col("p_type"), "E").alias("at"))
+
+
+ORACLES["fn_instr"] = "SELECT p_partkey, CAST(instr(lower(p_type), 'e') AS INTEGER) AS \"at\" FROM part"
+
+
+@register("SELECT p_partkey, CAST(starts_with(p_brand, 'Brand#1') AS INTEGER) AS a, CAST(ends_with(p_brand, '3') AS INTEGER) AS b, CAST(contains(p_name, 'a') AS INTEGER) AS c FROM part")
+def fn_ordinal(spark: SparkSession, d: str) -> DataFrame:
+    b = F.col("p_brand")
+    return table(spark, d, "part").select(
+        "p_partkey", S.ordinal_starts_with(b, "Brand#1").alias("a"), S.ordinal_ends_with(b, "3").alias("b"), S.ordinal_contains(F.col("p_name"), "a").alias("c")
+    )
+
+
+@register("SELECT p_partkey, CASE WHEN p_name < p_type THEN -1 WHEN p_name > p_type THEN 1 ELSE 0 END AS c, coalesce(TRY_CAST(regexp_extract(CAST(p_size AS VARCHAR) || ' kg', '^[+-]?([0-9]+\\.?[0-9]*)') AS DOUBLE), 0.0) AS v FROM part")
+def fn_strcomp_val(spark: SparkSession, d: str) -> DataFrame:
+    v = S.val(F.concat(F.col("p_size").cast("string"), F.lit(" kg")))
+    return table(spark, d, "part").select("p_partkey", S.strcomp(F.col("p_name"), F.col("p_type")).alias("c"), v.alias("v"))
+
+
+@register("SELECT event_id, CAST(year(ts) AS INTEGER) AS y, CAST(month(ts) AS INTEGER) AS m, CAST(day(ts) AS INTEGER) AS d, CAST(hour(ts) AS INTEGER) AS h, CAST(minute(ts) AS INTEGER) AS n, CAST(second(ts) AS INTEGER) AS s, CAST(dayofweek(ts) + 1 AS INTEGER) AS w FROM events")
+def fn_date_parts(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("ts")
+    return table(spark, d, "events").select(
+        "event_id", S.year(t).alias("y"), S.month(t).alias("m"), S.day(t).alias("d"), S.hour(t).alias("h"), S.minute(t).alias("n"), S.second(t).alias("s"), S.weekday(t).alias("w")
+    )
+
+
+@register("SELECT o_orderkey, strftime(o_orderdate + INTERVAL 1 MONTH, '%Y-%m-%d') AS m, strftime(o_orderdate + INTERVAL 10 DAY, '%Y-%m-%d') AS d, strftime(o_orderdate + INTERVAL 5 HOUR, '%Y-%m-%d %H:%M:%S') AS h FROM orders WHERE o_orderdate = date_trunc('day', o_orderdate)")
+def fn_dateadd(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("o_orderdate")
+    rows = table(spark, d, "orders").filter(F.date_trunc("day", t) == t)
+    return rows.select("o_orderkey", S.dateadd("m", 1, t).alias("m"), S.dateadd("d", 10, t).alias("d"), S.dateadd("h", 5, t).alias("h"))
+
+
+_EPOCH = "TIMESTAMP '2024-01-10 12:30:00'"
+
+
+@register(f"SELECT event_id, CAST(year(ts) - 2024 AS INTEGER) AS y, CAST(datediff('month', {_EPOCH}, ts) AS INTEGER) AS m, CAST(datediff('day', {_EPOCH}, ts) AS INTEGER) AS d, CAST(floor(datediff('day', {_EPOCH}, ts) / 7.0) AS INTEGER) AS ww, date_sub('hour', {_EPOCH}, ts) AS h, date_sub('second', {_EPOCH}, ts) AS s FROM events")
+def fn_datediff(spark: SparkSession, d: str) -> DataFrame:
+    a, t = F.expr(_EPOCH), F.col("ts")
+    rows = table(spark, d, "events")
+    a = a.cast(dict(rows.dtypes)["ts"])
+    return rows.select("event_id", *(S.datediff(u, a, t).alias(n) for n, u in (("y", "yyyy"), ("m", "m"), ("d", "d"), ("ww", "ww"), ("h", "h"), ("s", "s"))))
+
+
+@register("SELECT o_orderkey, CAST(quarter(o_orderdate) AS INTEGER) AS q, CAST(dayofyear(o_orderdate) AS INTEGER) AS y, CAST(weekofyear(o_orderdate) AS INTEGER) AS ww, CAST(dayofweek(o_orderdate) + 1 AS INTEGER) AS w FROM orders")
+def fn_datepart(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("o_orderdate")
+    return table(spark, d, "orders").select("o_orderkey", *(S.datepart(u, t).alias(u) for u in ("q", "y", "ww", "w")))
+
+
+@register("SELECT p_partkey, strftime(make_date(2000, 1, 1) + to_months(p_size - 1) + to_days(CAST(p_partkey % 45 - 1 AS INTEGER)), '%Y-%m-%d') AS d, lpad(CAST((p_size * 3600 + 75 * 60) % 86400 // 3600 AS VARCHAR), 2, '0') || ':15:00' AS t FROM part")
+def fn_serial(spark: SparkSession, d: str) -> DataFrame:
+    size = F.col("p_size")
+    return table(spark, d, "part").select(
+        "p_partkey", S.dateserial(F.lit(2000), size, (F.col("p_partkey") % 45).cast("int")).alias("d"), S.timeserial(size, F.lit(75), F.lit(0)).alias("t")
+    )
+
+
+@register("SELECT p_partkey, monthname(make_date(2000, CAST(p_size % 12 + 1 AS INTEGER), 1)) AS m, left(monthname(make_date(2000, CAST(p_size % 12 + 1 AS INTEGER), 1)), 3) AS s FROM part")
+def fn_monthname(spark: SparkSession, d: str) -> DataFrame:
+    n = (F.col("p_size") % 12 + 1).cast("int")
+    return table(spark, d, "part").select("p_partkey", S.monthname(n).alias("m"), S.monthname(n, True).alias("s"))
+
+
+@register("SELECT p_partkey, CAST(round_even(CAST(p_retailprice AS DECIMAL(18,2)), 1) AS DOUBLE) AS r, floor(-p_retailprice) AS f, trunc(-p_retailprice) AS x, CAST(sign(p_size - 25) AS INTEGER) AS s, abs(p_size - 25) AS a FROM part")
+def fn_math_round_even(spark: SparkSession, d: str) -> DataFrame:
+    p, s = F.col("p_retailprice"), F.col("p_size") - 25
+    return table(spark, d, "part").select(
+        "p_partkey", S.round_(p.cast("decimal(18,2)"), 1).cast("double").alias("r"), S.int_(-p).alias("f"), S.fix(-p).alias("x"), S.sgn(s).alias("s"), S.abs_(s).alias("a")
+    )
+
+
+@register("SELECT p_partkey, CAST(p_size AS VARCHAR) AS s, CAST(round_even(p_size / 2.0, 0) AS INTEGER) AS i, CAST(p_size AS DOUBLE) * 1000 AS d, CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END AS b, CASE WHEN p_size < 13 THEN '2020-' || lpad(CAST(p_size AS VARCHAR), 2, '0') || '-01' END AS dt FROM part")
+def fn_convert(spark: SparkSession, d: str) -> DataFrame:
+    z = F.col("p_size")
+    yes = F.when(z % 2 == 0, F.lit(" Yes ")).otherwise("n")
+    day = F.concat(F.lit("2020-"), F.lpad(z.cast("string"), 2, "0"), F.lit("-01"))
+    return table(spark, d, "part").select(
+        "p_partkey", S.cstr(z).alias("s"), S.cint(z / 2).alias("i"), S.cdbl(F.concat(z.cast("string"), F.lit(",000"))).alias("d"), S.cbool(yes).alias("b"), S.cdate(day).alias("dt")
+    )
+
+
+@register("SELECT p_partkey, format('{:,.2f}', p_retailprice) AS f FROM part")
+def fn_format(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", S.format_(F.col("p_retailprice"), "#,##0.00").alias("f"))
+
+
+@register("SELECT o_orderkey, 1 AS found, CAST(o_custkey AS VARCHAR) AS customer FROM orders WHERE o_orderkey < 1000")
+def fn_xml(spark: SparkSession, d: str) -> DataFrame:
+    x = F.concat(F.lit('<o><c id="'), F.col("o_custkey").cast("string"), F.lit('"/></o>'))
+    rows = table(spark, d, "orders").filter("o_orderkey < 1000")
+    return rows.select("o_orderkey", S.xml_exists(x, "/o/c").alias("found"), S.xml_value(x, "/o/c/@id").alias("customer"))
+
+
+# --- data hygiene
+_NORM = "lower(trim(text))"
+
+
+@register(f"SELECT min_by(left({_NORM}, 20), doc_id) AS key_values, COUNT(*) AS group_size, MIN(doc_id) AS winner_rowid, array_to_string(list_sort(list(doc_id))[2:], ',') AS duplicate_rowids FROM documents GROUP BY {_NORM} HAVING COUNT(*) > 1")
+def hyg_find_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").withColumn("norm", F.expr(_NORM))
+    return H.find_duplicates(docs.select("doc_id", "norm"), ["norm"], "doc_id").withColumn("key_values", F.left("key_values", F.lit(20)))
+
+
+@register(f"SELECT min(doc_id) AS doc_id FROM documents GROUP BY {_NORM}")
+def hyg_dedup_first(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", F.expr(_NORM).alias("norm"))
+    return H.dedup(docs, ["norm"], "doc_id").select("doc_id")
+
+
+@register("SELECT max(event_id) AS event_id FROM events GROUP BY upper(event_type), user_id")
+def hyg_dedup_last(spark: SparkSession, d: str) -> DataFrame:
+    return H.dedup(table(spark, d, "events"), [("event_type", "NOCASE"), "user_id"], "event_id", "last").select("event_id")
+
+
+@register("SELECT 'customer' AS table_name, count(*) FILTER (n > 1) AS duplicate_group_count, CAST(sum(n - 1) AS BIGINT) AS rows_deleted, count(*) AS rows_kept FROM (SELECT count(*) AS n FROM customer GROUP BY c_nationkey, c_mktsegment)")
+def hyg_dedup_summary(spark: SparkSession, d: str) -> DataFrame:
+    return H.dedup_summary(table(spark, d, "customer"), ["c_nationkey", "c_mktsegment"], "c_custkey", "customer")
+
+
+@register("SELECT min(o_orderkey) AS o_orderkey, o_custkey, coalesce(min_by(x, o_orderkey) FILTER (true), NULL) AS status FROM (SELECT 1)")
+def hyg_merge(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.nullif(F.col("o_orderstatus"), F.lit("O")).alias("status"))
+    return H.merge_duplicates(rows, ["o_custkey"], "o_orderkey")
+
+
+ORACLES["hyg_merge"] = (
+    "WITH r AS (SELECT o_orderkey, o_custkey, NULLIF(o_orderstatus, 'O') AS status, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders) "
+    "SELECT min(o_orderkey) AS o_orderkey, o_custkey, coalesce(max(CASE WHEN rn = 1 THEN status END), CASE WHEN count(DISTINCT status) = 1 THEN min(status) END) AS status FROM r GROUP BY o_custkey"
+)
+
+
+@register("SELECT * FROM (SELECT 'price' AS rule_name, 'orders' AS table_name, 'o_totalprice' AS column_name, o_orderkey AS rowid, 'too dear' AS message FROM orders WHERE NOT coalesce(o_totalprice < 45000, false) UNION ALL SELECT 'open', 'orders', 'o_orderstatus', o_orderkey, 'not open' FROM orders WHERE NOT coalesce(NULLIF(o_orderstatus, 'P') = 'O', false))")
+def hyg_validate(spark: SparkSession, d: str) -> DataFrame:
+    rules = [("price", "o_totalprice", "o_totalprice < 45000", "too dear"), ("open", "o_orderstatus", "nullif(o_orderstatus, 'P') = 'O'", "not open")]
+    return H.validate(table(spark, d, "orders"), rules, "o_orderkey", "orders")
+
+
+ORACLES["hyg_validate"] = ORACLES["hyg_validate"].replace("AS rowid", 'AS "rowid"')
+
+
+@register("SELECT 'documents' AS child_table, 'doc_id' AS child_column, doc_id AS child_rowid, CAST(doc_id AS VARCHAR) AS child_value, 'labels' AS parent_table, 'doc_id' AS parent_column FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def hyg_orphans(spark: SparkSession, d: str) -> DataFrame:
+    return H.find_orphans(table(spark, d, "documents"), "doc_id", table(spark, d, "labels"), "doc_id", "doc_id", "documents", "labels")
+
+
+@register("SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'SourceOnly' WHEN o_orderkey % 11 = 1 THEN 'TargetOnly' ELSE 'Changed' END AS difference, CASE WHEN o_orderkey % 11 = 2 THEN 'o_orderstatus' ELSE '' END AS changed_columns FROM orders WHERE o_orderkey % 11 < 2 OR (o_orderkey % 11 = 2 AND o_orderstatus <> 'O')")
+def data_compare(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    k = F.col("o_orderkey") % 11
+    target = o.filter(k != 0).withColumn("o_orderstatus", F.when(k == 2, "O").otherwise(F.col("o_orderstatus")))
+    return H.compare(o.filter(k != 1), target, "o_orderkey")
+
+
+@register("SELECT count(*) AS rows_n, 256 AS buckets_n FROM lineitem")
+def checksum_by_bucket(spark: SparkSession, d: str) -> DataFrame:
+    sums = H.checksum(table(spark, d, "lineitem"))
+    return sums.agg(F.sum("rows").alias("rows_n"), F.count("*").cast("int").alias("buckets_n"))
+
+
+# --- statistics and catalogue
+@register("SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS distinct_count, count({c}) AS non_null_count, CAST(min({c}) AS VARCHAR) AS min_value, CAST(max({c}) AS VARCHAR) AS max_value FROM customer" for c in ("c_custkey", "c_nationkey", "c_mktsegment")) + ")")
+def stats_columns(spark: SparkSession, d: str) -> DataFrame:
+    return H.column_stats(table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment"))
+
+
+@register("SELECT CAST(least(floor((l_quantity - 1) / 49 * 8), 7) AS INTEGER) AS bucket, count(*) AS row_count, min(l_quantity) AS low, max(l_quantity) AS high FROM lineitem GROUP BY 1")
+def stats_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return H.histogram(table(spark, d, "lineitem"), "l_quantity")
+
+
+@register("SELECT l_returnflag AS value, count(*) AS row_count, count(*) * 1000000 // (SELECT count(*) FROM lineitem) AS frequency_ppm FROM lineitem GROUP BY 1")
+def stats_heavy_hitters(spark: SparkSession, d: str) -> DataFrame:
+    return H.heavy_hitters(table(spark, d, "lineitem"), "l_returnflag")
+
+
+@register("SELECT * FROM (SELECT 'c_nationkey' AS prefix, count(DISTINCT c_nationkey) AS distinct_count FROM customer UNION ALL SELECT 'c_nationkey,c_mktsegment', count(DISTINCT (c_nationkey, c_mktsegment)) FROM customer)")
+def stats_prefix(spark: SparkSession, d: str) -> DataFrame:
+    return H.prefix_counts(table(spark, d, "customer"), ["c_nationkey", "c_mktsegment"])
+
+
+@register("SELECT * FROM (VALUES ('region', 'r_regionkey', 1), ('region', 'r_name', 2), ('nation', 'n_nationkey', 1), ('nation', 'n_name', 2), ('nation', 'n_regionkey', 3)) t(table_name, column_name, ordinal)")
+def sys_columns(spark: SparkSession, d: str) -> DataFrame:
+    return T.sys_columns(spark, {t: table(spark, d, t) for t in ("region", "nation")}).select("table_name", "column_name", "ordinal")
+
+
+@register("SELECT c_custkey, c_name FROM customer WHERE upper(c_mktsegment) LIKE 'AUTO%' ORDER BY c_name, c_custkey LIMIT 10 OFFSET 20")
+def paged_query(spark: SparkSession, d: str) -> DataFrame:
+    return T.page(table(spark, d, "customer"), ["c_name", "c_custkey"], 10, 2, {"c_mktsegment": ("startswith", "auto")}).select("c_custkey", "c_name")
+
+
+@register()
+def explain_plan(spark: SparkSession, d: str) -> DataFrame:
+    return T.explain(QUERIES["star_join"](spark, d))
+
+
+# --- table changes
+@register("SELECT r_regionkey, r_name FROM region UNION ALL SELECT 99, 'NOWHERE'")
+def dml_insert(spark: SparkSession, d: str) -> DataFrame:
+    return T.insert(table(spark, d, "region"), spark.createDataFrame([(99, "NOWHERE")], "R_REGIONKEY bigint, r_name string"))
+
+
+@register("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice FROM orders")
+def dml_update(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    return T.update(rows, F.col("o_orderstatus") == "F", {"o_totalprice": F.col("o_totalprice") * 2}).drop("o_orderstatus")
+
+
+@register("SELECT o_orderkey FROM orders WHERE NOT coalesce(NULLIF(o_orderstatus, 'O') = 'F', false)")
+def dml_delete(spark: SparkSession, d: str) -> DataFrame:
+    return T.delete(table(spark, d, "orders"), F.nullif(F.col("o_orderstatus"), F.lit("O")) == "F").select("o_orderkey")
+
+
+@register("SELECT * FROM (SELECT 'not_null s' AS \"constraint\", count(*) FILTER (o_orderstatus = 'O') AS row_count FROM orders UNION ALL SELECT 'check dear', count(*) FILTER (o_totalprice >= 40000) FROM orders UNION ALL SELECT 'unique o_custkey', CAST(sum(n) AS BIGINT) FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 1)) WHERE row_count > 0")
+def constraint_check(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "orders").withColumn("s", F.nullif(F.col("o_orderstatus"), F.lit("O")))
+    return T.violations(rows, [["o_custkey"]], ["s"], {"dear": "o_totalprice < 40000"})
+
+
+# --- pipelines
+@register("SELECT CAST(event_id AS VARCHAR) AS id, event_type AS kind, CAST(user_id AS DOUBLE) AS who FROM events")
+def pipe_select_rename_cast(spark: SparkSession, d: str) -> DataFrame:
+    steps = [P.Step("select", ["event_id", "event_type", "user_id"]), P.Step("rename", {"event_id": "id", "event_type": "kind", "user_id": "who"}), P.Step("cast", {"id": "text", "who": "real"})]
+    return P.run(P.Package("events", steps), table(spark, d, "events"))[0]
+
+
+@register("SELECT event_id FROM events WHERE user_id >= 100")
+def pipe_filter(spark: SparkSession, d: str) -> DataFrame:
+    return P.run(P.Package("f", [P.Step("filter", "user_id >= 100"), P.Step("select", ["event_id"])]), table(spark, d, "events"))[0]
+
+
+@register("SELECT n_nationkey, n_name, n_name AS copy, 'fixed' AS tag, 7 AS seven FROM nation")
+def pipe_derive(spark: SparkSession, d: str) -> DataFrame:
+    steps = [P.Step("select", ["n_nationkey", "n_name"]), P.Step("derive", {"copy": "n_name", "tag": "'fixed'", "seven": "7"})]
+    return P.run(P.Package("d", steps), table(spark, d, "nation"))[0]
+
+
+@register("SELECT min(event_id) AS event_id, user_id FROM events GROUP BY user_id")
+def pipe_dedup(spark: SparkSession, d: str) -> DataFrame:
+    steps = [P.Step("select", ["event_id", "user_id"]), P.Step("deduplicate", {"keys": ["user_id"], "by": "event_id"})]
+    return P.run(P.Package("u", steps), table(spark, d, "events"))[0]
+
+
+@register("SELECT p_partkey, p_size AS code FROM part WHERE p_size % 5 <> 0")
+def pipe_skip_bad(spark: SparkSession, d: str) -> DataFrame:
+    code = F.when(F.col("p_size") % 5 == 0, F.lit("bad")).otherwise(F.col("p_size").cast("string"))
+    source = table(spark, d, "part").select("p_partkey", code.alias("code"))
+    return P.run(P.Package("s", [P.Step("cast", {"code": "integer"})], skip_bad_rows=True), source)[0]
+
+
+@register("SELECT event_id FROM events WHERE event_id > 4000")
+def pipe_incremental(spark: SparkSession, d: str) -> DataFrame:
+    return incremental.since(table(spark, d, "events"), "event_id", 4000).select("event_id")
+
+
+# --- collections and full text
+@register("SELECT event_id FROM events WHERE json_extract_string(props, '$.k') = '42'")
+def coll_path_eq(spark: SparkSession, d: str) -> DataFrame:
+    return C.find_by_path(table(spark, d, "events"), "$.k", 42, "props").select("event_id")
+
+
+@register("SELECT event_id FROM events WHERE CAST(json_extract_string(props, '$.k') AS DOUBLE) BETWEEN 10 AND 20")
+def coll_path_range(spark: SparkSession, d: str) -> DataFrame:
+    return C.find_by_range(table(spark, d, "events"), "$.k", 10, 20, doc="props").select("event_id")
+
+
+@register("SELECT DISTINCT o_orderkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_partkey = 17")
+def coll_array_contains(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(F.struct(F.col("l_partkey").alias("part"))).alias("lines"))
+    docs = lines.select("o_orderkey", F.to_json(F.struct("lines")).alias("doc"))
+    return C.find_by_path(docs, "$.lines[].part", 17).select("o_orderkey")
+
+
+@register("SELECT doc_id, 2 AS score FROM documents WHERE list_contains(regexp_extract_all(lower(text), '[\\p{L}\\p{N}'']+'), 'with') AND list_contains(regexp_extract_all(lower(text), '[\\p{L}\\p{N}'']+'), 'from')")
+def fts_and_terms(spark: SparkSession, d: str) -> DataFrame:
+    return C.search(table(spark, d, "documents"), ["text"], "From WITH from").select("doc_id", "score")
