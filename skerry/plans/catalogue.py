@@ -34,8 +34,13 @@ def register(oracle: str | None = None) -> Callable:
 # --- expression semantics
 @register("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (l_partkey - 1000) // 7 AS q FROM lineitem WHERE l_orderkey < 200")
 def int_division(spark: SparkSession, d: str) -> DataFrame:
+    return int_division_all(spark, d).filter("l_orderkey < 200")
+
+
+@register(ORACLES["int_division"].removesuffix(" WHERE l_orderkey < 200"))
+def int_division_all(spark: SparkSession, d: str) -> DataFrame:
     q = M.int_div(F.col("l_partkey") - 1000, F.lit(7))
-    return table(spark, d, "lineitem").filter("l_orderkey < 200").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", q.alias("q"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", q.alias("q"))
 
 
 @register("SELECT o_orderkey, CASE WHEN NULLIF(o_custkey % 3, 0) IS NULL THEN NULL ELSE o_custkey BETWEEN 10 AND 400 * NULLIF(o_custkey % 3, 0) END AS inside FROM orders")
@@ -88,10 +93,15 @@ def collate_group(spark: SparkSession, d: str) -> DataFrame:
 
 @register(f"SELECT a.c_custkey AS a_key, COUNT(*) AS n FROM customer a JOIN customer b ON upper({_MIXED.replace('c_', 'a.c_')}) = upper(lower(b.c_mktsegment)) AND a.c_nationkey = b.c_nationkey WHERE a.c_custkey < 100 GROUP BY a.c_custkey")
 def collate_join(spark: SparkSession, d: str) -> DataFrame:
+    return collate_join_all(spark, d).filter("a_key < 100")
+
+
+@register(ORACLES["collate_join"].replace(" WHERE a.c_custkey < 100", ""))
+def collate_join_all(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer")
-    a = c.filter("c_custkey < 100").select(F.col("c_custkey").alias("a_key"), "c_nationkey", M.collation_key(F.expr(_MIXED), "NOCASE").alias("k"))
-    b = c.select("c_nationkey", M.collation_key(F.lower("c_mktsegment"), "NOCASE").alias("k"))
-    return a.join(b, ["c_nationkey", "k"]).groupBy("a_key").agg(F.count("*").alias("n"))
+    a = c.select(F.col("c_custkey").alias("a_key"), "c_nationkey", M.collation_key(F.expr(_MIXED), "NOCASE").alias("k"))
+    b = c.select("c_nationkey", M.collation_key(F.lower("c_mktsegment"), "NOCASE").alias("k")).groupBy("c_nationkey", "k").agg(F.count("*").alias("m"))
+    return a.join(b, ["c_nationkey", "k"]).groupBy("a_key").agg(F.sum("m").alias("n"))
 
 
 @register("SELECT o_orderkey, CASE WHEN p > 0 AND p <= n THEN prev ELSE -1 END AS back FROM (SELECT o_orderkey, rn - off AS p, n, (SELECT i.o_orderkey FROM ranked i WHERE i.o_custkey = r.o_custkey AND i.rn = r.rn - r.off) AS prev FROM (SELECT 1) x, (SELECT * FROM ranked) r)".replace("FROM (SELECT o_orderkey, rn", "FROM (WITH ranked AS (SELECT o_orderkey, o_custkey, o_orderkey % 3 AS off, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) SELECT o_orderkey, rn"))
@@ -230,9 +240,13 @@ def fn_format(spark: SparkSession, d: str) -> DataFrame:
 
 @register("SELECT o_orderkey, 1 AS found, CAST(o_custkey AS VARCHAR) AS customer FROM orders WHERE o_orderkey < 1000")
 def fn_xml(spark: SparkSession, d: str) -> DataFrame:
+    return fn_xml_all(spark, d).filter("o_orderkey < 1000")
+
+
+@register(ORACLES["fn_xml"].removesuffix(" WHERE o_orderkey < 1000"))
+def fn_xml_all(spark: SparkSession, d: str) -> DataFrame:
     x = F.concat(F.lit('<o><c id="'), F.col("o_custkey").cast("string"), F.lit('"/></o>'))
-    rows = table(spark, d, "orders").filter("o_orderkey < 1000")
-    return rows.select("o_orderkey", S.xml_exists(x, "/o/c").alias("found"), S.xml_value(x, "/o/c/@id").alias("customer"))
+    return table(spark, d, "orders").select("o_orderkey", S.xml_exists(x, "/o/c").alias("found"), S.xml_value(x, "/o/c/@id").alias("customer"))
 
 
 # --- data hygiene
@@ -241,8 +255,13 @@ _NORM = "lower(trim(text))"
 
 @register(f"SELECT min_by(left({_NORM}, 20), doc_id) AS key_values, COUNT(*) AS group_size, MIN(doc_id) AS winner_rowid, array_to_string(list_sort(list(doc_id))[2:], ',') AS duplicate_rowids FROM documents GROUP BY {_NORM} HAVING COUNT(*) > 1")
 def hyg_find_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    return hyg_find_duplicates_all(spark, d).withColumn("key_values", F.left("key_values", F.lit(20)))
+
+
+@register(ORACLES["hyg_find_duplicates"].replace(f"left({_NORM}, 20)", _NORM))
+def hyg_find_duplicates_all(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").withColumn("norm", F.expr(_NORM))
-    return H.find_duplicates(docs.select("doc_id", "norm"), ["norm"], "doc_id").withColumn("key_values", F.left("key_values", F.lit(20)))
+    return H.find_duplicates(docs.select("doc_id", "norm"), ["norm"], "doc_id")
 
 
 @register(f"SELECT min(doc_id) AS doc_id FROM documents GROUP BY {_NORM}")

@@ -102,5 +102,9 @@ TEXTS = {
     "ts_range_summary": "SELECT event_type, COUNT(*) AS n, MIN(value) AS lo, MAX(value) AS hi, CAST(SUM(CAST(value AS DECIMAL(18,6))) AS DOUBLE) AS total FROM events WHERE ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts < TIMESTAMP '2024-01-20 00:00:00' GROUP BY event_type",
 }
 
+#: The same queries over whole tables: the text without its id filter or LIMIT.
+CUTS = {"arithmetic": " WHERE l_orderkey < 50", "sort_nulls": " LIMIT 50", "sort_ordinal": " LIMIT 7"}
+TEXTS |= {f"{name}_all": TEXTS[name].removesuffix(cut) for name, cut in CUTS.items()}
+
 QUERIES = {name: query(text) for name, text in TEXTS.items()}
 ORACLES = dict(TEXTS)
