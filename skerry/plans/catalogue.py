@@ -320,6 +320,14 @@ def checksum_by_bucket(spark: SparkSession, d: str) -> DataFrame:
     return sums.agg(F.sum("rows").alias("rows_n"), F.count("*").cast("int").alias("buckets_n"))
 
 
+@register()
+def checksum_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """bucket, rows, digest of all 256 buckets, empty ones too; DuckDB has no xxhash64 like Spark's."""
+    sums = H.checksum(table(spark, d, "lineitem"))
+    every = spark.range(256).select(F.col("id").alias("bucket"))
+    return every.join(sums, "bucket", "left").select("bucket", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("digest", F.lit(0)).alias("digest"))
+
+
 # --- statistics and catalogue
 @register("SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS distinct_count, count({c}) AS non_null_count, CAST(min({c}) AS VARCHAR) AS min_value, CAST(max({c}) AS VARCHAR) AS max_value FROM customer" for c in ("c_custkey", "c_nationkey", "c_mktsegment")) + ")")
 def stats_columns(spark: SparkSession, d: str) -> DataFrame:

@@ -5,6 +5,7 @@ import decimal
 
 import duckdb
 import pytest
+import xxhash
 
 from skerry.plans import catalogue
 
@@ -59,3 +60,27 @@ def test_whole_table_queries_cut_nothing(spark):
     assert all(catalogue.ORACLES[f"{n}_all"] != catalogue.ORACLES[n] for n in [*WHOLE, "hyg_find_duplicates"])
     keys = [r["key_values"] for r in catalogue.QUERIES["hyg_find_duplicates_all"](spark, DATA).collect()]
     assert max(map(len, keys)) > 20
+
+
+def brute_buckets(rows):
+    """bucket to (rows, digest) of (long, string) rows: XXH64, each column seeded by the last one's hash."""
+    out = {b: (0, 0) for b in range(256)}
+    for n, text in rows:
+        h = 42
+        for v in (n.to_bytes(8, "little", signed=True), text.encode()):
+            h = xxhash.xxh64_intdigest(v, seed=h)
+        h -= (h >> 63) << 64
+        out[h % 256] = (out[h % 256][0] + 1, out[h % 256][1] + h)
+    return out
+
+
+def test_checksum_buckets_against_brute_force(spark, tmp_path):
+    first = [(i % 300 - 7, f"text {i % 300}") for i in range(500)]
+    second = [(n, text + "x" * (n == 3)) for n, text in first]
+    got = []
+    for name, rows in (("a", first), ("b", second), ("c", first[:3])):
+        spark.createDataFrame(rows, "k long, v string").write.parquet(f"{tmp_path}/{name}/lineitem.parquet")
+        found = catalogue.QUERIES["checksum_buckets"](spark, f"{tmp_path}/{name}").collect()
+        got.append({r["bucket"]: (r["rows"], int(r["digest"])) for r in found})
+        assert len(found) == 256 and got[-1] == brute_buckets(rows)
+    assert got[0] != got[1]
