@@ -64,9 +64,12 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(text, F.lit(0)), F.xxhash64(F.lit("second"), text, F.lit(1))]
 
 
-def numbered(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+def numbered(df: DataFrame, name: str, by: list[str] | None = None, weight: str | None = None) -> DataFrame:
     """Add gapless numbers from 0, within each value of `by` if given.
 
+    With `weight`, a column of whole numbers, a row counts as that many: its
+    number is the sum of the weights before it.
+
     `df` must be stored rows (see materialise): each partition numbers its own
     rows as they stream past, the small table of counts by partition is summed
     up to offsets, and these are added, so no row is sorted or moved. `by` must
@@ -75,7 +78,8 @@ def numbered(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame
     by = by or []
     spark = df.sparkSession
     marked = df.withColumn("_part", F.spark_partition_id())
-    counts = marked.groupBy("_part", *by).count().collect()
+    each = F.sum(weight) if weight else F.count("*")
+    counts = marked.groupBy("_part", *by).agg(each.alias("count")).collect()
     counts.sort(key=lambda r: (*(r[c] for c in by), r["_part"]))
     offsets: dict[tuple, int] = {}
     seen: dict[tuple, int] = {}
@@ -95,6 +99,8 @@ def numbered(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame
             if by:
                 within = pdf.groupby(by, sort=False)
                 numbers, sizes = within.cumcount(), within.size()
+                if weight:
+                    numbers, sizes = within[weight].cumsum() - pdf[weight], within[weight].sum()
                 keys = [k if isinstance(k, tuple) else (k,) for k in sizes.index]
                 start = {k: shared.value[(part, *k)] + so_far.get(k, 0) for k in keys}
                 rows = list(zip(*(pdf[c] for c in by), strict=True))
@@ -103,8 +109,12 @@ def numbered(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame
                     so_far[k] = so_far.get(k, 0) + int(n)
             else:
                 start_at = shared.value[(part,)] + so_far.get((), 0)
-                pdf[name] = range(start_at, start_at + len(pdf))
-                so_far[()] = so_far.get((), 0) + len(pdf)
+                if weight:
+                    pdf[name] = start_at + pdf[weight].cumsum() - pdf[weight]
+                    so_far[()] = so_far.get((), 0) + int(pdf[weight].sum())
+                else:
+                    pdf[name] = range(start_at, start_at + len(pdf))
+                    so_far[()] = so_far.get((), 0) + len(pdf)
             yield pdf
 
     return marked.mapInPandas(number, schema)

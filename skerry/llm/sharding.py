@@ -5,8 +5,11 @@ shard that its hash names; in each round it looks at the shards of the
 documents it is linked with and asks to move to the one that most of them are
 in (a group larger than a shard, to as many of the fullest as it needs).
 Requests into a shard are granted as far as its quota goes, group by group in
-the order of a hash. Documents without links then fill what is free, and those
-beyond a quota go where there is room, so that counts end at most one apart.
+the order of a hash. Then every group is given one shard: large groups are
+packed by falling size, small ones stay in their fullest shard while its quota
+lasts, and those left over go to shards with room. A group is cut only where no
+shard has room for it. Documents without links fill what is free, so that
+counts end at most one apart.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm._store import materialise, numbered
+from skerry.llm._store import materialise, numbered, small
 
 ROUNDS = 6
 
@@ -30,7 +33,7 @@ def _round(linked: DataFrame, quotas: list[int], rnd: int) -> tuple[DataFrame, i
     shards = len(quotas)
     cells = linked.groupBy("group", "shard").agg(F.count("*").alias("n"))
     ranked = cells.groupBy("group").agg(
-        F.sum("n").alias("members"), F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "shard"))).alias("by_n")
+        F.sum("n").alias("members"), F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), F.xxhash64("group", "shard").alias("tie"), "shard"))).alias("by_n")
     )
     wanted = ranked.select(
         "group", F.slice(F.transform("by_n", lambda c: c["shard"]), 1, F.ceil(F.col("members") / min(quotas)).cast("int")).alias("aims")
@@ -54,6 +57,76 @@ def _round(linked: DataFrame, quotas: list[int], rnd: int) -> tuple[DataFrame, i
     return materialise(moved), sum(come)
 
 
+def _pack(sizes: list[int], free: list[int]) -> list[list[tuple[int, int]]]:
+    """(shard, rows) pieces of each size, largest first; `free` is used up.
+
+    A group goes whole into the fullest shard with room, and is cut, into the
+    shards with most room, only if there is none.
+    """
+    out: list[list[tuple[int, int]]] = [[] for _ in sizes]
+    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+        left = sizes[i]
+        while left:
+            fits = [s for s, n in enumerate(free) if n >= left]
+            s = min(fits, key=lambda s: (free[s], s)) if fits else max(range(len(free)), key=lambda s: (free[s], -s))
+            n = min(left, free[s])
+            out[i].append((s, n))
+            free[s] -= n
+            left -= n
+    return out
+
+
+def _whole(linked: DataFrame, quotas: list[int]) -> DataFrame:
+    """linked with a shard for each row: no quota is exceeded, and as few groups as may be are cut.
+
+    The driver packs groups of over 1/64 of a quota (64 a shard at most) and
+    those that lie on a border between two shards' room (one a shard at most).
+    """
+    shards, spark = len(quotas), linked.sparkSession
+    cells = linked.groupBy("group", "shard").agg(F.count("*").alias("n"))
+    homes = cells.groupBy("group").agg(
+        F.sum("n").alias("members"), F.max(F.struct("n", F.xxhash64("group", "shard").alias("tie"), "shard"))["shard"].alias("home")
+    )
+    homes = materialise(homes)
+    large = F.col("members") > max(1, min(quotas) // 64)
+    named = [(r["group"], r["members"]) for r in homes.filter(large).collect()]
+    named.sort(key=lambda g: (-g[1], g[0]))
+    free = list(quotas)
+    pieces = _pack([n for _, n in named], free)
+    longs = lambda ns: F.array(*(F.lit(n).cast("long") for n in ns))
+    # small groups stay at home in stored order, as far as there is room
+    stored = materialise(numbered(materialise(homes.filter(~large)), "before", ["home"], "members"))
+    stays = F.col("before") + F.col("members") <= F.get(longs(free), F.col("home"))
+    at_home = stored.filter(stays).select("group", F.col("home").cast("int").alias("to"))
+    for r in stored.filter(stays).groupBy("home").agg(F.sum("members").alias("n")).collect():
+        free[r["home"]] -= r["n"]
+    # the others go along the room that all shards have left, one after another
+    upto = [0]
+    for n in free:
+        upto.append(upto[-1] + n)
+    loose = numbered(materialise(stored.filter(~stays).select("group", "members")), "at", weight="members")
+    to = F.size(F.filter(longs(upto[1:]), lambda b: b <= F.col("at"))).cast("int")
+    loose = materialise(loose.withColumn("to", to))
+    fits = F.col("at") + F.col("members") <= F.get(longs(upto[1:]), F.col("to"))
+    moved = loose.filter(fits).select("group", "to")
+    for r in loose.filter(fits).groupBy("to").agg(F.sum("members").alias("n")).collect():
+        free[r["to"]] -= r["n"]
+    last = [(r["group"], r["members"]) for r in loose.filter(~fits).collect()]
+    last.sort(key=lambda g: (-g[1], g[0]))
+    pieces += _pack([n for _, n in last], free)
+    named += last
+    plans = [(g, [s for s, _ in p], [sum(n for _, n in p[: i + 1]) for i in range(len(p))]) for (g, _), p in zip(named, pieces, strict=True)]
+    plan = small(materialise(spark.createDataFrame(plans, "group string, tos array<int>, upto array<long>")))
+    cols = [c for c in linked.columns if c != "shard"]
+    one = linked.join(plan.filter(F.size("tos") == 1), "group").select(*cols, F.get("tos", F.lit(0)).alias("shard"))
+    cut = materialise(linked.join(plan.filter(F.size("tos") > 1), "group").select(*cols, "tos", "upto"))
+    nth = materialise(numbered(cut, "nth", ["group"]))
+    piece = F.get("tos", F.size(F.filter("upto", lambda b: b <= F.col("nth"))))
+    rest = linked.join(plan.select("group"), "group", "left_anti").drop("shard")
+    rest = rest.join(at_home.union(moved), "group").select(*cols, F.col("to").alias("shard"))
+    return one.union(nth.select(*cols, piece.alias("shard"))).union(rest)
+
+
 def assign_shards(
     docs: DataFrame,
     shards: int = 40,
@@ -69,9 +142,10 @@ def assign_shards(
     with nothing. Null ids and repeated rows are rows like any others. Other
     columns are ignored. An empty table gives an empty result.
 
-    Groups and rows are only joined, counted and stored; a number for each shard
-    (and, for slots, each partition) reaches the driver. A group that holds a
-    third of all rows is counted by partial sums, and spread over shards.
+    Groups and rows are only joined, counted and stored; some numbers for each
+    shard (and, for slots, each partition) and the sizes of at most 65 groups a
+    shard reach the driver. A group that holds a third of all rows is counted by
+    partial sums, and fills as few shards as it can.
     """
     if shards < 1:
         raise ValueError("shards must be positive")
@@ -95,6 +169,7 @@ def assign_shards(
             linked, moves = _round(linked, quotas, rnd)
             if not moves:
                 break
+    linked = materialise(_whole(linked, quotas))
     placed = materialise(numbered(linked, "slot", ["shard"]))
     quota = F.get(F.array(*map(F.lit, quotas)), F.col("shard")).cast("long")
     held = [min(n, q) for n, q in zip(_loads(linked, "shard", shards), quotas, strict=True)]

@@ -182,6 +182,20 @@ def test_sharding(spark, docs, odd, texts):
     assert assign_shards(odd.limit(0)).count() == 0
 
 
+def test_sharding_cuts_only_what_no_shard_can_hold(spark):
+    n = 4000
+    hot = lambda i: "hot" if i < n // 3 else f"pair {i // 2}" if i < 2 * n // 3 else f"only {i}"
+    fours = lambda i: f"four {i // 4}" if i < n * 8 // 10 else f"only {i}"
+    for text, most in ((hot, {"hot": math.ceil(n // 3 / 400)}), (fours, {})):
+        df = spark.createDataFrame([(i, text(i)) for i in range(n)], "doc_id long, text string")
+        shards, counts = collections.defaultdict(set), collections.Counter()
+        for r in assign_shards(df, 10).collect():
+            shards[text(r["doc_id"])].add(r["shard"])
+            counts[r["shard"]] += 1
+        assert set(counts.values()) == {400}
+        assert all(len(found) <= most.get(t, 1) for t, found in shards.items())
+
+
 def test_secrets(spark, docs, odd, texts):
     for r in digest(scan_secrets(docs)).collect():
         spans = base_spans(texts[r["doc_id"]])
