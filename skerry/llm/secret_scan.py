@@ -31,6 +31,7 @@ RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
 _WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _DIGESTS = {32, 40, 48, 56, 64, 96, 128}
 _UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+_NAME = re.compile(r"[A-Za-z]?[a-z]{0,18}|[A-Z]{1,19}|[0-9]{1,8}")
 _IS_HEX, _IS_RUN = np.zeros(256, bool), np.zeros(256, bool)
 _IS_HEX[list(b"0123456789abcdef")] = True
 _IS_RUN[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")] = True
@@ -45,13 +46,13 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def is_identifier(run: str) -> bool:
-    """Whether a run is a digest of known length, a UUID, a number, or made of words."""
+    """Whether a run is a digest of known length, a UUID, of few characters, or made of words and short numbers."""
     if len(run) in _DIGESTS and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", run) or _UUID.fullmatch(run):
         return True
-    if len(set(run)) < 8 or not re.search(r"[0-9]", run) or not re.search(r"[A-Za-z]", run):
+    if len(set(run)) < 8:
         return True
-    # names: every part is a word (one case after its first letter) or a number of few digits
-    return all(re.fullmatch(r"[A-Za-z]?[a-z]*|[A-Z]+|[0-9]{1,8}", p) for p in re.split(r"[/_=+-]", run))
+    # names: every part is a word (one case after its first letter, under 20 letters) or a number of few digits
+    return all(map(_NAME.fullmatch, re.split(r"[/_=+-]", run)))
 
 
 class Scanner:

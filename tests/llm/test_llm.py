@@ -211,6 +211,27 @@ def test_secrets(spark, docs, odd, texts):
     assert scan_secrets(odd).count() == odd.count() and scan_secrets(odd.limit(0)).count() == 0
 
 
+@pytest.fixture(scope="module")
+def scanner():
+    return Scanner(open(VOCABULARY, "rb").read(), 2.1, 20)
+
+
+def random_spans(scanner, text):
+    return [(s, e) for k, s, e in scanner.scan(text)[1] if k == "random"]
+
+
+def test_secrets_of_letters_alone(scanner):
+    rng = random.Random(8)
+    low = "abcdefghijklmnopqrstuvwxyz"
+    # in one case a few keys reach the ratio by chance
+    for letters, least in ((low + low.upper(), 50), (low, 45)):
+        for n in (20, 40):
+            keys = ["".join(rng.choice(letters) for _ in range(n)) for _ in range(50)]
+            assert sum(random_spans(scanner, f"key {key} end") == [(4, 4 + n)] for key in keys) >= least
+    for t in ("the internationalization_of_documents", "Donaudampfschifffahrtsgesellschaft", "src/main/java/org/example/service", "getApplicationContextFactory"):
+        assert not random_spans(scanner, t)
+
+
 def test_secret_prefilter_misses_nothing(texts):
     from skerry.llm._text import buffers
     import pyarrow as pa
