@@ -28,6 +28,7 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
+PART = re.compile(r"[^/_=+-]+")
 _WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _DIGESTS = {32, 40, 48, 56, 64, 96, 128}
 _UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
@@ -55,6 +56,18 @@ def is_identifier(run: str) -> bool:
     return all(map(_NAME.fullmatch, re.split(r"[/_=+-]", run)))
 
 
+def stretches(run: str) -> list[tuple[int, int]]:
+    """Start and end of what lies between a run's words of four letters or more."""
+    out: list[tuple[int, int]] = []
+    joined = False
+    for m in PART.finditer(run):
+        word = len(m[0]) >= 4 and _NAME.fullmatch(m[0]) and m[0].isalpha()
+        if not word:
+            out.append((out.pop()[0] if joined else m.start(), m.end()))
+        joined = not word
+    return out
+
+
 class Scanner:
     """Scans texts with one vocabulary."""
 
@@ -66,16 +79,33 @@ class Scanner:
         self.ratio, self.least = ratio, least
 
     def random_spans(self, text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-        """Runs of few characters a token that no pattern span overlaps."""
+        """Runs, or parts of them, of few characters a token that no pattern span overlaps."""
+
+        def free(a: int, b: int) -> bool:
+            return not any(s < b and a < e for _, s, e in taken)
+
         out = []
         for m in RUN.finditer(text):
             start, end = m.span()
-            if end - start < self.least or is_identifier(m[0]) or any(s < end and start < e for _, s, e in taken):
+            if end - start < self.least or is_identifier(m[0]):
                 continue
-            if end - start < self.ratio * len(self.encode(m[0])):
+            if free(start, end) and self.is_low(m[0]):
                 out.append(("random", start, end))
+                continue
+            # words in front of a key or behind it hide it in the ratio of the whole
+            for a, b in stretches(m[0]):
+                parts = [(p.start() + a, p.end() + a) for p in PART.finditer(m[0][a:b])]
+                for s, e in [(a, b)] if free(start + a, start + b) and self.is_secret(m[0][a:b]) else parts:
+                    if free(start + s, start + e) and self.is_secret(m[0][s:e]):
+                        out.append(("random", start + s, start + e))
         return out
 
+    def is_low(self, run: str) -> bool:
+        return len(run) < self.ratio * len(self.encode(run))
+
+    def is_secret(self, run: str) -> bool:
+        return len(run) >= self.least and not is_identifier(run) and self.is_low(run)
+
     def scan(self, text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
         """Pattern spans, and all spans."""
         base = base_spans(text)
@@ -114,7 +144,8 @@ def scan_secrets(
 
     Kinds: assign, access and hex are patterns; random are runs of at least
     `least` key-like characters with fewer than `ratio` characters a token that
-    overlap no pattern span. Whole texts are scanned.
+    overlap no pattern span, or else such parts of a run between its separators
+    or its words. Whole texts are scanned.
 
     Null and empty texts have no spans. Null ids and repeated rows are kept and
     scanned each; other columns are ignored. An empty table gives an empty result.

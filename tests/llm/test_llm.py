@@ -232,6 +232,21 @@ def test_secrets_of_letters_alone(scanner):
         assert not random_spans(scanner, t)
 
 
+def test_secrets_behind_words(scanner):
+    rng = random.Random(9)
+    chars = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    for front in ("hooks/services/notifications/", "com/services/integrations/webhooks/", "api/", "webhooks/T012/notifications_of_services="):
+        for n in (24, 32):
+            for _ in range(50):
+                key = "".join(rng.choice(chars) for _ in range(n))
+                for back in ("", "/configuration/documents"):
+                    spans = random_spans(scanner, f"x {front}{key}{back} y")
+                    at = 2 + len(front)
+                    assert any(s <= at and at + n <= e for s, e in spans)
+    for t in ("org/example/module_2024/11/25/report_of_the_department", "f0" * 10 + "/ab"):
+        assert not random_spans(scanner, t)
+
+
 def test_secret_prefilter_misses_nothing(texts):
     from skerry.llm._text import buffers
     import pyarrow as pa
