@@ -42,11 +42,24 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the least doc_id of each group of near duplicates: five-word shingles, similarity 0.8."""
-    found = near_duplicates(docs)
-    other = free_name(docs.columns, "reject_id")
-    gone = small(materialise(found.filter("not kept").select(F.col("doc_id").alias(other)).distinct()))
-    return docs.join(gone, docs["doc_id"] == gone[other], "left_anti")
+    """Keep the least doc_id of each group of near duplicates: five-word shingles, similarity 0.8.
+
+    Rows that repeat an id with another text are judged each by their own text,
+    and only those that resemble another document go. Of rows that repeat an id
+    and its text one stays; two near texts of one id, and rows without an id, all
+    stay.
+    """
+    kept = _without(docs, near_duplicates(docs, keyed=True).filter("not kept"))
+    hashed = F.xxhash64("text").alias("key")
+    again = docs.filter("doc_id is not null and text is not null").groupBy("doc_id", hashed).count().filter("count > 1")
+    again = materialise(again.select("doc_id", "key"))
+    if not again.limit(1).count():
+        return kept
+    kept = materialise(kept)
+    other, key = free_name(kept.columns, "again_id"), free_name(kept.columns, "again_key")
+    listed = small(again.select(F.col("doc_id").alias(other), F.col("key").alias(key)))
+    repeats = kept.join(listed, (kept["doc_id"] == listed[other]) & (F.xxhash64(kept["text"]) == listed[key]), "left_semi")
+    return _without(kept, again).union(repeats.dropDuplicates(["doc_id", "text"]))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -249,6 +249,7 @@ def near_duplicates(
     bands: int = BANDS,
     rows: int = ROWS,
     miss: float = 1e-6,
+    keyed: bool = False,
 ) -> DataFrame:
     """id, n_shingles, component_id, kept: near-duplicate groups of `docs`.
 
@@ -265,6 +266,7 @@ def near_duplicates(
     columns are ignored. An empty table gives an empty result.
 
     miss: probability that the sequential test drops a pair at the threshold.
+    keyed: add key, the text's hash, which tells rows of one id apart.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     docs = docs.withColumn("key", F.xxhash64("text"))
@@ -291,11 +293,12 @@ def near_duplicates(
     joined = classes.select("class", "node", "id").join(parts, "node", "left")
     named = joined.filter("component is not null").groupBy("component").agg(F.min("id").alias("least"))
     of_class = joined.join(named, "component", "left").select("class", F.coalesce("least", "id").alias("component_id"))
-    out = signed.select("id", "n_shingles", "class").join(of_class, "class", "left")
+    out = signed.select("id", "key", "n_shingles", "class").join(of_class, "class", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select(
         F.col("id").alias(id_col),
         "n_shingles",
         component.alias("component_id"),
         F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
+        *(["key"] if keyed else []),
     )

@@ -395,3 +395,11 @@ def test_pipeline(spark, docs):
     before, after = kept["packing"]
     assert {r["doc_id"] for r in after.collect()} == set(before)
     assert corpus_pipeline.run(spark, DATA).count() == after.count()
+
+
+def test_near_dedup_tells_repeated_ids_apart(spark):
+    a, b = " ".join(f"a{i}" for i in range(90)), " ".join(f"b{i}" for i in range(90))
+    rows = [(5, a), (5, b), (3, b + " more"), (7, "c d e f g h"), (7, "c d e f g h"), (None, "x y z"), (None, "x y z")]
+    out = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), DATA)
+    want = [(5, a), (3, b + " more"), (7, "c d e f g h"), (None, "x y z"), (None, "x y z")]
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr)
