@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skerry.llm._store import free_name, materialise, small
-from skerry.llm.decontaminate import find_contamination
+from skerry.llm.decontaminate import SIZE, find_contamination
 from skerry.llm.line_dedup import dedup_lines
 from skerry.llm.minhash import near_duplicates
 from skerry.llm.packing import pack
@@ -63,9 +63,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents of which a twentieth of the words or more are benchmark passages."""
+    """Drop documents that hold 13 words or more of benchmark passages, or a twentieth of whose words are such.
+
+    A passage is 13 consecutive words of an item, or a shorter item as a whole;
+    shorter items alone count only by their share, as single words may be items.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, find_contamination(docs, benchmark).filter("contaminated"))
+    return _without(docs, find_contamination(docs, benchmark).filter(f"contaminated or n_hit >= {SIZE}"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -403,3 +403,12 @@ def test_near_dedup_tells_repeated_ids_apart(spark):
     out = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), DATA)
     want = [(5, a), (3, b + " more"), (7, "c d e f g h"), (None, "x y z"), (None, "x y z")]
     assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_decontamination_stage_drops_long_texts_with_a_passage(spark, tmp_path):
+    item = " ".join(f"i{i}" for i in range(20))
+    spark.createDataFrame([(1, item), (2, "one")], "item_id int, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    plain = " ".join(f"p{i}" for i in range(1500))
+    rows = [(1, f"{plain} {item} {plain}"), (2, plain), (3, f"{plain} one"), (4, f"{plain} {item[:40]}")]
+    out = corpus_pipeline.decontamination(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path))
+    assert sorted(r["doc_id"] for r in out.collect()) == [2, 3, 4]
