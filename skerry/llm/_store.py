@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,13 +19,18 @@ BROADCAST_ROWS = 50_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir.
 
-    Only where the session names none (local tests) is a temporary folder of
-    this machine used, and recorded in the session for later calls.
+    Only in a local session that names none (tests) is a temporary folder of
+    this machine used, and recorded in the session for later calls. On a cluster
+    the executors could not read it, so there a missing folder is an error.
     """
     set_dir = spark.sparkContext.getCheckpointDir()
     if set_dir:
         return set_dir
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skerry-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="skerry-")
     spark.sparkContext.setCheckpointDir(folder)
     return spark.sparkContext.getCheckpointDir() or folder
 
@@ -38,7 +44,21 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables (see materialise) that nothing left to run reads.
+
+    What a caller gets back may still read the rest; those stay until the shared
+    folder is emptied with the session's other checkpoints.
+    """
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -59,11 +79,6 @@ def free_name(columns: list[str], wanted: str) -> str:
     return name
 
 
-def text_key(text: Column) -> list[Column]:
-    """Two 64-bit hashes that identify a text; null differs from ''."""
-    return [F.xxhash64(text, F.lit(0)), F.xxhash64(F.lit("second"), text, F.lit(1))]
-
-
 def numbered(df: DataFrame, name: str, by: list[str] | None = None, weight: str | None = None) -> DataFrame:
     """Add gapless numbers from 0, within each value of `by` if given.
 
@@ -71,50 +86,33 @@ def numbered(df: DataFrame, name: str, by: list[str] | None = None, weight: str
     number is the sum of the weights before it.
 
     `df` must be stored rows (see materialise): each partition numbers its own
-    rows as they stream past, the small table of counts by partition is summed
-    up to offsets, and these are added, so no row is sorted or moved. `by` must
-    have few values; there is one offset for each of them and partition.
+    rows as they stream past, and a table of what other partitions hold before
+    them is joined on (broadcast only within small()'s bound), so no row is
+    sorted and nothing is collected. `by` must have few values; that table has a
+    row for each of them and partition.
     """
     by = by or []
-    spark = df.sparkSession
-    marked = df.withColumn("_part", F.spark_partition_id())
-    each = F.sum(weight) if weight else F.count("*")
-    counts = marked.groupBy("_part", *by).agg(each.alias("count")).collect()
-    counts.sort(key=lambda r: (*(r[c] for c in by), r["_part"]))
-    offsets: dict[tuple, int] = {}
-    seen: dict[tuple, int] = {}
-    for r in counts:
-        key = tuple(r[c] for c in by)
-        offsets[(r["_part"], *key)] = seen.get(key, 0)
-        seen[key] = seen.get(key, 0) + r["count"]
-    shared = spark.sparkContext.broadcast(offsets)
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType())])
+    part, start = free_name(df.columns, "part"), free_name(df.columns, "start")
+    marked = df.withColumn(part, F.spark_partition_id())
+    counts = materialise(marked.groupBy(part, *by).agg((F.sum(weight) if weight else F.count("*")).cast("long").alias("held")))
+    before = Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = materialise(counts.select(part, *by, F.coalesce(F.sum("held").over(before), F.lit(0)).cast("long").alias(start)))
+    schema = T.StructType([*marked.schema.fields, T.StructField(name, T.LongType())])
 
     def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        so_far: dict[tuple, int] = {}
+        so_far: dict = {}
         for pdf in batches:
             if pdf.empty:
                 continue
-            part = int(pdf.pop("_part").iloc[0])
-            if by:
-                within = pdf.groupby(by, sort=False)
-                numbers, sizes = within.cumcount(), within.size()
-                if weight:
-                    numbers, sizes = within[weight].cumsum() - pdf[weight], within[weight].sum()
-                keys = [k if isinstance(k, tuple) else (k,) for k in sizes.index]
-                start = {k: shared.value[(part, *k)] + so_far.get(k, 0) for k in keys}
-                rows = list(zip(*(pdf[c] for c in by), strict=True))
-                pdf[name] = numbers + pd.Series([start[k] for k in rows], index=pdf.index)
-                for k, n in zip(keys, sizes, strict=True):
-                    so_far[k] = so_far.get(k, 0) + int(n)
-            else:
-                start_at = shared.value[(part,)] + so_far.get((), 0)
-                if weight:
-                    pdf[name] = start_at + pdf[weight].cumsum() - pdf[weight]
-                    so_far[()] = so_far.get((), 0) + int(pdf[weight].sum())
-                else:
-                    pdf[name] = range(start_at, start_at + len(pdf))
-                    so_far[()] = so_far.get((), 0) + len(pdf)
+            count = pdf[weight] if weight else pd.Series(1, pdf.index)
+            keys = pdf.groupby(by, sort=False, dropna=False).ngroup() if by else pd.Series(0, pdf.index)
+            names = pdf.loc[~keys.duplicated(), by].itertuples(index=False, name=None) if by else [()]
+            own = {k: n for k, n in zip(keys[~keys.duplicated()].tolist(), names, strict=True)}
+            within = count.groupby(keys)
+            pdf[name] = (within.cumsum() - count + keys.map({k: so_far.get(n, 0) for k, n in own.items()})).astype("int64")
+            for k, held in within.sum().items():
+                so_far[own[k]] = so_far.get(own[k], 0) + int(held)
             yield pdf
 
-    return marked.mapInPandas(number, schema)
+    local = marked.mapInPandas(number, schema)
+    return local.join(small(starts), [part, *by]).withColumn(name, F.col(name) + F.col(start)).select(*df.columns, name)

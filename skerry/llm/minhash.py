@@ -12,7 +12,11 @@ Groups, not pairs, are asked for, so a bucket of m classes is not expanded into
 m * m pairs: every class is compared with the bucket's least one, the links
 found are closed into components, and only buckets that still hold more than
 one component are worked on further, the classes outside the bucket's main
-component against all of the bucket, in blocks. No bucket is capped.
+component against all of the bucket, in blocks. No bucket is capped. Pairs whose
+set sizes alone exclude the threshold are dropped before any join; a pair that
+shares several bands is compared in the first of them only; and pairs are
+verified by blocks too, so that each set is sent once to a block and pairs that
+the block has already connected are passed over.
 """
 
 from __future__ import annotations
@@ -23,16 +27,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm._store import materialise, small
+from skerry.llm._store import discard, materialise, small
 from skerry.llm._text import Words, chunks, mix, shingles, span_hash
 from skerry.llm.components import connected_components
 
 BANDS, ROWS = 42, 6  # a pair of similarity 0.8 shares no band once in 350,000
 BATCH = 36  # hashes compared before each decision
 BLOCK = 256  # classes on either side of a block
+WEIGHT = 1 << 19  # shingles on either side of a block
 
 
 def _hashes(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -41,13 +46,17 @@ def _hashes(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signature_matrix(sets: list[np.ndarray], n: int) -> np.ndarray:
-    """MinHash signatures, a row for each of the non-empty sets."""
+    """MinHash signatures, a row for each of the non-empty sets.
+
+    Of each least hash 16 mixed bits are kept: hashes that differ agree in them
+    once in 65,536, which can add a candidate but never lose one.
+    """
     mult, add = _hashes(n)
     low = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
     offs = np.cumsum([0, *(len(s) for s in sets[:-1])])
-    out = np.empty((n, len(sets)), np.uint32)
+    out = np.empty((n, len(sets)), np.uint16)
     for i in range(n):
-        out[i] = np.minimum.reduceat(low * mult[i] + add[i], offs)
+        out[i] = (np.minimum.reduceat(low * mult[i] + add[i], offs) * np.uint32(0x9E3779B1)) >> np.uint32(16)
     return np.ascontiguousarray(out.T)
 
 
@@ -65,8 +74,8 @@ def least_matches(n: int, threshold: float, miss: float) -> int:
     return n + 1
 
 
-def surviving(left: np.ndarray, right: np.ndarray, threshold: float, miss: float) -> np.ndarray:
-    """Which of the pairs left[i], right[i] of signatures outlast every batch."""
+def surviving(left: np.ndarray, right: np.ndarray, threshold: float, miss: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the pairs left[i], right[i] of signatures outlast every batch, and their matches."""
     alive = np.arange(len(left))
     matches = np.zeros(len(left), np.int64)
     for first in range(0, left.shape[1], BATCH):
@@ -74,7 +83,12 @@ def surviving(left: np.ndarray, right: np.ndarray, threshold: float, miss: float
         matches = matches + (left[alive, first:last] == right[alive, first:last]).sum(axis=1)
         on = matches >= least_matches(last, threshold, miss)
         alive, matches = alive[on], matches[on]
-    return alive
+    return alive, matches
+
+
+def near_in_size(x: np.ndarray, y: np.ndarray | int, percent: int) -> np.ndarray:
+    """Whether sets of these sizes can reach the threshold at all."""
+    return 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
 
 
 def _signed(docs: DataFrame, k: int, n: int) -> DataFrame:
@@ -113,17 +127,24 @@ def _signed(docs: DataFrame, k: int, n: int) -> DataFrame:
     return docs.mapInArrow(run, f"id {id_type}, key long, n_shingles long, class binary, sig binary")
 
 
+def _bits(bands: int) -> int:
+    return max(1, (bands - 1).bit_length())
+
+
 def _banded(classes: DataFrame, bands: int, rows: int) -> DataFrame:
-    """bucket, node: a row for each class and band."""
+    """bucket, node: a row for each class and band; a bucket's low bits are its band."""
+    low = np.uint64((1 << _bits(bands)) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = _matrix(batch.column("sig"))
-            acc = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(sig), bands))
+            sig = _matrix(batch.column("sig")).astype(np.uint64)
+            band = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(sig), bands))
+            acc = band
             for r in range(rows):
                 acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + sig[:, r : bands * rows : rows])
+            acc = acc & ~low | band
             yield pa.RecordBatch.from_arrays(
                 [pa.array(acc.view(np.int64).ravel()), pa.array(np.repeat(batch.column("node").to_numpy(), bands))],
                 ["bucket", "node"],
@@ -134,29 +155,46 @@ def _banded(classes: DataFrame, bands: int, rows: int) -> DataFrame:
 
 def _matrix(column: pa.Array | pd.Series) -> np.ndarray:
     values = column.to_pylist() if isinstance(column, pa.Array) else list(column)
-    return np.frombuffer(b"".join(values), np.uint32).reshape(len(values), -1)
+    return np.frombuffer(b"".join(values), np.uint16).reshape(len(values), -1)
+
 
+def _parts(n: str, weight: str) -> Column:
+    """Into how many parts rows of this number and weight are dealt."""
+    return F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(weight) / WEIGHT), F.lit(1)).cast("int")
 
-def _prune(pairs: DataFrame, classes: DataFrame, threshold: float, miss: float) -> DataFrame:
-    """The pairs a, b that outlast the sequential test of their signatures."""
+
+def _star(buckets: DataFrame, classes: DataFrame, threshold: float, miss: float, percent: int) -> DataFrame:
+    """block, a, b, ca, cb, m: each class and its buckets' least ones, if the test can't exclude them."""
+    sizes = classes.select("node", F.col("n_shingles").alias("size"))
+    pairs = buckets.filter("node <> a").select("a", F.col("node").alias("b")).distinct()
+    pairs = pairs.join(sizes.withColumnsRenamed({"node": "a", "size": "na"}), "a").join(sizes.withColumnsRenamed({"node": "b", "size": "nb"}), "b")
+    pairs = materialise(pairs.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b", "nb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keep = surviving(_matrix(batch.column("sa")), _matrix(batch.column("sb")), threshold, miss)
-                yield batch.select(["a", "b"]).take(pa.array(keep))
+                keep, matches = surviving(_matrix(batch.column("sa")), _matrix(batch.column("sb")), threshold, miss)
+                kept = batch.select(["a", "b", "nb"]).take(pa.array(keep))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(matches, pa.int32())], ["a", "b", "nb", "m"])
 
     sa = classes.select(F.col("node").alias("a"), F.col("sig").alias("sa"))
     sb = classes.select(F.col("node").alias("b"), F.col("sig").alias("sb"))
-    return pairs.join(sa, "a").join(sb, "b").mapInArrow(run, "a long, b long")
+    left = materialise(pairs.join(sa, "a").join(sb, "b").mapInArrow(run, "a long, b long, nb long, m int"))
+    parts = left.groupBy("a").agg(F.count("*").alias("n"), F.sum("nb").alias("w")).select("a", _parts("n", "w").alias("parts"))
+    dealt = left.join(small(materialise(parts)), "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")))
+    return dealt.select(F.xxhash64("a", "part").alias("block"), "a", "b", F.col("a").alias("ca"), F.col("b").alias("cb"), "m")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs a, b whose full shingle sets reach the threshold."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = materialise(nodes.join(classes.select("node", "id", "key"), "node"))
-    id_name = "id"
-    texts = docs.join(small(wanted), [id_name, "key"]).select("node", "text")
+    """Links a, b among pairs (block, a, b, ca, cb, m) that connect what all of their links would.
+
+    A link is a pair whose full shingle sets reach the threshold. ca and cb are
+    components that a and b are known to be in; a block's pairs are tested by
+    falling matches m, and those that earlier ones have connected are left out.
+    """
+    places = materialise(pairs.select("block", F.col("a").alias("node")).union(pairs.select("block", "b")).distinct())
+    wanted = materialise(places.select("node").distinct().join(classes.select("node", "id", "key"), "node"))
+    texts = docs.join(small(wanted), ["id", "key"]).select("node", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,77 +205,107 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, perce
                     [batch.column("node").slice(first, last - first), pa.array(sets, pa.binary())], ["node", "shingles"]
                 )
 
-    sets = materialise(texts.mapInArrow(cut, "node long, shingles binary").dropDuplicates(["node"]))
+    sets = texts.mapInArrow(cut, "node long, shingles binary").dropDuplicates(["node"])
 
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    continue
-                both = np.concatenate([x, y])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                if 100 * shared >= percent * (len(both) - shared):
-                    keep.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+    def test(placed: pa.Table, asked: pa.Table) -> pa.Table:
+        shingle_sets = {
+            n: np.frombuffer(b.as_buffer(), np.uint64) for n, b in zip(placed.column("node").to_pylist(), placed.column("shingles"), strict=True)
+        }
+        home: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while (up := home.get(c, c)) != c:
+                home[c] = c = home.get(up, up)
+            return c
 
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").mapInArrow(test, "a long, b long")
+        found: list[tuple[int, int]] = []
+        for a, b, ca, cb, _ in sorted(zip(*(asked.column(c).to_pylist() for c in ("a", "b", "ca", "cb", "m")), strict=True), key=lambda r: (-r[4], r[:2])):
+            ca, cb = find(ca), find(cb)
+            if ca == cb:
+                continue
+            x, y = shingle_sets[a], shingle_sets[b]
+            both = np.concatenate([x, y])
+            both.sort()
+            shared = int((both[1:] == both[:-1]).sum())
+            if 100 * shared >= percent * (len(both) - shared):
+                found.append((a, b))
+                home[ca] = cb
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    placed = places.join(sets, "node").groupBy("block").cogroup(pairs.groupBy("block"))
+    return placed.applyInArrow(test, "a long, b long")
 
 
-def _unresolved(buckets: DataFrame, parts: DataFrame) -> DataFrame:
-    """bucket, node, component, main, n, n_out: buckets of several components.
+def _unresolved(buckets: DataFrame, parts: DataFrame, bands: int) -> DataFrame:
+    """bucket, band, node, size, component, main, n, w, n_out, w_out: buckets of several components.
 
     Buckets of two were settled by their one comparison. Of buckets with the
-    same members one is taken.
+    same members the one of the least band is taken.
     """
     rows = buckets.filter("n > 2").join(parts, "node", "left")
-    rows = rows.select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
+    rows = materialise(rows.select("bucket", "node", "size", F.coalesce("component", "node").alias("component")))
     by = rows.groupBy("bucket", "component").agg(
-        F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("h1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("h2")
+        F.count("*").alias("m"),
+        F.sum("size").alias("w"),
+        F.bit_xor(F.xxhash64("node")).alias("h1"),
+        F.bit_xor(F.xxhash64("node", F.lit(1))).alias("h2"),
     )
     open_ = by.groupBy("bucket").agg(
-        F.max(F.struct("m", "component")).alias("top"),
+        F.max(F.struct("m", "w", "component")).alias("top"),
         F.count("*").alias("parts"),
         F.sum("m").alias("n"),
+        F.sum("w").alias("w"),
         F.bit_xor("h1").alias("h1"),
         F.bit_xor("h2").alias("h2"),
     )
-    open_ = open_.filter("parts > 1").groupBy("n", "h1", "h2").agg(F.min(F.struct("bucket", "top")).alias("o"))
-    open_ = open_.select("o.bucket", F.col("o.top.component").alias("main"), (F.col("n") - F.col("o.top.m")).alias("n_out"))
-    return rows.join(open_, "bucket")
+    open_ = open_.filter("parts > 1")
+    band = F.col("bucket").bitwiseAND((1 << _bits(bands)) - 1).cast("int")
+    open_ = open_.groupBy("n", "h1", "h2").agg(F.min(F.struct(band.alias("band"), "bucket", "top", "w")).alias("o"))
+    open_ = open_.select(
+        "o.bucket", F.col("o.band").alias("band"), F.col("o.top.component").alias("main"), "n", "o.w",
+        (F.col("n") - F.col("o.top.m")).alias("n_out"), (F.col("o.w") - F.col("o.top.w")).alias("w_out"),
+    )
+    return rows.join(small(materialise(open_)), "bucket")
 
 
-def _blocks(open_: DataFrame, classes: DataFrame, threshold: float, miss: float) -> DataFrame:
-    """Surviving pairs a, b of different components within open buckets.
+def _blocks(open_: DataFrame, classes: DataFrame, threshold: float, miss: float, rows_: int, percent: int) -> DataFrame:
+    """block, a, b, ca, cb, m: surviving pairs of different components within open buckets.
 
     Rows outside a bucket's main component meet every row of the bucket, in
-    blocks of BLOCK by BLOCK that are tasks' groups of bounded size.
+    blocks of bounded size. A pair that shares an earlier band is left to that
+    band's bucket.
     """
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    place = lambda n: F.pmod(F.xxhash64("node"), blocks(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
-    cols = ("bucket", "node", "component")
-    outer = open_.filter("component <> main").select(*cols, F.lit(True).alias("out"), place("n_out").alias("i"), every("n").alias("j"))
-    inner = open_.select(*cols, F.lit(False).alias("out"), every("n_out").alias("i"), place("n").alias("j"))
+    place = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    few, all_ = _parts("n_out", "w_out"), _parts("n", "w")
+    open_ = open_.withColumn("outer", F.col("component") != F.col("main"))
+    cols = ("bucket", "band", "node", "component", "size", "outer")
+    outer = open_.filter("outer").select(*cols, F.lit(True).alias("out"), place(few).alias("i"), every(all_).alias("j"))
+    inner = open_.select(*cols, F.lit(False).alias("out"), every(few).alias("i"), place(all_).alias("j"))
     rows = outer.union(inner).join(classes.select("node", "sig"), "node")
 
     def test(pdf: pd.DataFrame) -> pd.DataFrame:
         ys, xs = pdf[pdf["out"]], pdf[~pdf["out"]]
         found = []
         if len(ys) and len(xs):
-            x_sig, x_node, x_part = _matrix(xs["sig"]), xs["node"].to_numpy(), xs["component"].to_numpy()
-            for node, part, sig in zip(ys["node"], ys["component"], _matrix(ys["sig"]), strict=True):
-                other = np.flatnonzero(x_part != part)
-                if len(other):
-                    keep = other[surviving(x_sig[other], np.broadcast_to(sig, (len(other), len(sig))), threshold, miss)]
-                    found += [(min(node, v), max(node, v)) for v in x_node[keep].tolist()]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+            x_sig, x_node, x_part, x_size = _matrix(xs["sig"]), xs["node"].to_numpy(), xs["component"].to_numpy(), xs["size"].to_numpy()
+            x_outer = xs["outer"].to_numpy()
+            band = int(pdf["band"].iloc[0])
+            block = hash((int(pdf["bucket"].iloc[0]), int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])))
+            for node, part, size, sig in zip(ys["node"].tolist(), ys["component"].tolist(), ys["size"].tolist(), _matrix(ys["sig"]), strict=True):
+                other = np.flatnonzero((x_part != part) & near_in_size(x_size, size, percent) & (~x_outer | (x_node > node)))
+                if not len(other):
+                    continue
+                keep, matches = surviving(x_sig[other], np.broadcast_to(sig, (len(other), len(sig))), threshold, miss)
+                at = other[keep]
+                if band and len(at):
+                    first = (x_sig[at, : band * rows_] == sig[: band * rows_]).reshape(len(at), band, rows_).all(axis=2).any(axis=1)
+                    at, matches = at[~first], matches[~first]
+                found += [(block, node, v, part, p, m) for v, p, m in zip(x_node[at].tolist(), x_part[at].tolist(), matches.tolist(), strict=True)]
+        out = pd.DataFrame(found, columns=["block", "a", "b", "ca", "cb", "m"], dtype="int64")
+        return out.astype({"m": "int32"})
 
-    return rows.groupBy("bucket", "i", "j").applyInPandas(test, "a long, b long").distinct()
+    return rows.groupBy("bucket", "i", "j").applyInPandas(test, "block long, a long, b long, ca long, cb long, m int")
 
 
 def near_duplicates(
@@ -274,19 +342,21 @@ def near_duplicates(
     classes = materialise(
         signed.filter("id is not null and n_shingles > 0")
         .groupBy("class")
-        .agg(F.min(F.struct("id", "key")).alias("r"), F.any_value("sig").alias("sig"))
-        .select("class", "r.id", "r.key", "sig", F.monotonically_increasing_id().alias("node"))
+        .agg(F.min(F.struct("id", "key")).alias("r"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("sig").alias("sig"))
+        .select("class", "r.id", "r.key", "n_shingles", "sig", F.monotonically_increasing_id().alias("node"))
     )
     banded = _banded(classes, bands, rows)
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("a")).filter("n > 1")
-    buckets = materialise(banded.join(shared, "bucket"))
+    shared = materialise(banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("a")).filter("n > 1"))
+    buckets = banded.join(small(shared), "bucket").join(classes.select("node", F.col("n_shingles").alias("size")), "node")
+    buckets = materialise(buckets)
     threshold = percent / 100
-    star = buckets.filter("node <> a").select("a", F.col("node").alias("b")).distinct()
-    links = materialise(_verify(materialise(_prune(star, classes, threshold, miss)), docs, classes, shingle, percent))
+    star = _star(buckets, classes, threshold, miss, percent)
+    links = materialise(_verify(star, docs, classes, shingle, percent))
     parts = connected_components(links)
-    open_ = materialise(_unresolved(buckets, parts))
+    open_ = materialise(_unresolved(buckets, parts, bands))
+    discard(shared, buckets)
     if open_.limit(1).count():
-        pairs = materialise(_blocks(open_, classes, threshold, miss))
+        pairs = materialise(_blocks(open_, classes, threshold, miss, rows, percent))
         more = materialise(_verify(pairs, docs, classes, shingle, percent))
         if more.limit(1).count():
             parts = connected_components(links.union(more))
