@@ -283,6 +283,9 @@ def _blocks(open_: DataFrame, classes: DataFrame, threshold: float, miss: float,
     outer = open_.filter("outer").select(*cols, F.lit(True).alias("out"), place(few).alias("i"), every(all_).alias("j"))
     inner = open_.select(*cols, F.lit(False).alias("out"), every(few).alias("i"), place(all_).alias("j"))
     rows = outer.union(inner).join(classes.select("node", "sig"), "node")
+    # a block is few bytes and much work: its tasks must not be merged by their bytes
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(tasks, "bucket", "i", "j")
 
     def test(pdf: pd.DataFrame) -> pd.DataFrame:
         ys, xs = pdf[pdf["out"]], pdf[~pdf["out"]]
