@@ -3,29 +3,35 @@
 Only suffixes that begin at a minimiser are kept: the word position with the
 least hash of GRAM words among any WINDOW neighbouring ones. Equal passages
 select equal positions, so every passage of `least` words holds a kept suffix,
-the passage's first minimiser, whose next `least - WINDOW + 1` words lie inside
-the passage. These suffix prefixes are sorted over the cluster and compared
-with their neighbours; a suffix equal to neither can't belong to a repeated
-passage. Matches are then extended to the left and right, in the documents that
-hold them: every window of `least` words whose first minimiser survived is
-looked up among the other extended windows, and the windows that occur twice or
-more are merged into spans.
-
-The sort is a range partitioning on the prefix and then the document and place,
-so a passage that a third of all documents share spreads over many tasks.
+the passage's first minimiser, whose next `least - WINDOW + 1` words, its
+prefix, lie inside the passage. A suffix whose prefix's hash occurs once can't
+belong to a repeated passage and is left out before any text is moved.
+
+The others are cut with the words around them, range-partitioned and sorted by
+their words, and neighbours are compared word by word: those that agree in the
+whole prefix form a run. In a run matches are extended to the right and left:
+the suffixes are divided by the words on either side, and every window of
+`least` words whose first minimiser is the suffix is compared, byte by byte,
+with the run's others. Windows that occur twice or more are merged into spans.
+
+The sort key ends in the document and place, so a passage that a third of all
+documents share spreads over many tasks. A run that a partition's end cuts hands
+on one row for each of its different windows, and an aggregation joins those.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm._store import materialise, small
-from skerry.llm._text import Words, chunks, mix, span_hash, window_min
+from skerry.llm._store import discard, materialise, small
+from skerry.llm._text import IS_SPACE, LOWER, Words, chunks, mix, span_hash, window_min
 
 LEAST, WINDOW, GRAM = 50, 20, 6
 
@@ -62,7 +68,7 @@ def _selected(words: Words, least: int, window: int, gram: int) -> tuple[np.ndar
 
 
 def _suffixes(texts: DataFrame, least: int, window: int, gram: int) -> DataFrame:
-    """prefix, node, at: the kept suffixes; at is a word position."""
+    """prefix (a hash of it), node, at: the kept suffixes; at is a word position."""
     prefix = least - window + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,15 +88,15 @@ def _suffixes(texts: DataFrame, least: int, window: int, gram: int) -> DataFrame
                     ["prefix", "node", "at"],
                 )
 
-    return texts.select("node", "text").mapInArrow(run, "prefix long, node long, at long")
+    return texts.select("node", "text").mapInArrow(run, "prefix long, node binary, at long")
 
 
 def _like_neighbours(suffixes: DataFrame) -> DataFrame:
-    """node, at of sorted suffixes whose prefix equals a neighbour's.
+    """node, at of suffixes whose prefix's hash occurs at another place too.
 
-    A partition can't see beyond its first and last rows, so these count as
-    equal to a neighbour; that adds at most two suffixes a partition, which the
-    extension then finds to be alone.
+    The hashes are sorted over the cluster. A partition can't see beyond its
+    first and last rows, so these count as equal to a neighbour; that adds at
+    most two suffixes a partition, which the comparison of words then drops.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,10 +105,19 @@ def _like_neighbours(suffixes: DataFrame) -> DataFrame:
             table = pa.Table.from_batches([batch])
             if held is not None:
                 table = pa.concat_tables([held, table]).combine_chunks()
-            n = table.num_rows
-            if not n:
+            if not table.num_rows:
                 continue
-            prefix = table.column("prefix").to_numpy()
+            prefix, at = table.column("prefix").to_numpy(), table.column("at").to_numpy()
+            # copies of a text are one node: rows of one place count once
+            node = table.column("node").combine_chunks()
+            again = (prefix[1:] == prefix[:-1]) & (at[1:] == at[:-1])
+            where = np.flatnonzero(again)
+            if len(where):
+                again[where] = pc.equal(node.take(pa.array(where)), node.take(pa.array(where + 1))).to_numpy(zero_copy_only=False)
+                stay = np.append(~again, True)
+                table = table.filter(pa.array(stay))
+                prefix = prefix[stay]
+            n = len(prefix)
             equal = prefix[1:] == prefix[:-1]
             keep = np.zeros(n, bool)
             keep[1:] |= equal
@@ -114,13 +129,26 @@ def _like_neighbours(suffixes: DataFrame) -> DataFrame:
             yield from held.select(["node", "at"]).to_batches()
 
     by = ["prefix", "node", "at"]
-    return suffixes.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(run, "node long, at long")
+    return suffixes.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(run, "node binary, at long")
 
 
-def _extended(texts: DataFrame, survivors: DataFrame, least: int, window: int, gram: int) -> DataFrame:
-    """hash, id, node, at: the windows of `least` words whose minimiser survived."""
-    by_text = survivors.groupBy("node").agg(F.collect_set("at").alias("ats"))
+def _plain(data: np.ndarray, words: Words) -> tuple[bytes, np.ndarray]:
+    """The words in lower case with one space after each, and where each begins."""
+    sizes = words.ends - words.starts
+    out = np.full(int(sizes.sum()) + len(sizes), 0x20, np.uint8)
+    inside = np.flatnonzero(~IS_SPACE[data])
+    out[np.arange(len(inside)) + np.repeat(np.arange(len(sizes)), sizes)] = LOWER[data[inside]]
+    return out.tobytes(), np.append(0, np.cumsum(sizes + 1))
+
+
+def _contexts(texts: DataFrame, least: int, window: int, gram: int) -> DataFrame:
+    """right, left, head, id, node, at: the words from each surviving suffix on, and before it.
+
+    They are those of the windows whose first minimiser it is; head is the size
+    of the prefix in bytes. texts has id, node, text and the suffixes' ats.
+    """
     id_type = texts.schema["id"].dataType.simpleString()
+    prefix = least - window + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,53 +159,181 @@ def _extended(texts: DataFrame, survivors: DataFrame, least: int, window: int, g
                 kept = np.zeros(len(words.hashes) + 1, bool)
                 for i in range(first, last):
                     kept[ats[i].values.to_numpy() + words.bounds[i - first]] = True
-                on = kept[found]
-                text, start = text[on], start[on]
+                new = np.ones(len(found), bool)
+                new[1:] = found[1:] != found[:-1]
+                lows = np.flatnonzero(new)
+                highs = np.append(lows[1:], len(found)) - 1
+                on = kept[found[lows]] if len(lows) else np.zeros(0, bool)
+                lows, highs = lows[on], highs[on]
+                text, at, low, high = text[lows], found[lows], start[lows], start[highs]
+                plain, begin = _plain(data, words)
+                a, b, c = begin[low].tolist(), begin[at].tolist(), begin[high + least].tolist()
                 rows = pa.array(text + first)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(span_hash(words.hashes, start, start + least).view(np.int64)),
+                        pa.array([plain[y:z] for y, z in zip(b, c, strict=True)], pa.binary()),
+                        pa.array([plain[x:y] for x, y in zip(a, b, strict=True)], pa.binary()),
+                        pa.array(begin[at + prefix] - begin[at], pa.int32()),
                         batch.column("id").take(rows),
                         batch.column("node").take(rows),
-                        pa.array(start - words.bounds[text], pa.int64()),
+                        pa.array(at - words.bounds[text], pa.int64()),
                     ],
-                    ["hash", "id", "node", "at"],
+                    ["right", "left", "head", "id", "node", "at"],
                 )
 
-    joined = texts.join(by_text.hint("shuffle_hash"), "node").select("id", "node", "text", "ats")
-    return joined.mapInArrow(run, f"hash long, id {id_type}, node long, at long")
+    return texts.mapInArrow(run, f"right binary, left binary, head int, id {id_type}, node binary, at long")
+
+
+def _word_ends(part: bytes) -> list[int]:
+    """0, and the place after each word's space."""
+    return [0, *(np.flatnonzero(np.frombuffer(part, np.uint8) == 0x20) + 1).tolist()]
+
+
+def _ranges(lefts: list[int], at: int, least: int) -> list[tuple[int, int]]:
+    """Merged [start, end) of the windows that begin so many words left of `at`; lefts fall."""
+    out: list[tuple[int, int]] = []
+    for n, left in enumerate(lefts):
+        if n and lefts[n - 1] == left + 1:
+            out[-1] = (out[-1][0], at - left + least)
+        else:
+            out.append((at - left, at - left + least))
+    return out
+
+
+class _Found:
+    """Columns of what a partition's runs yield."""
+
+    def __init__(self) -> None:
+        self.id, self.node, self.start, self.end, self.kind, self.hash = [], [], [], [], [], []
+
+    def add(self, place: tuple, start: int, end: int, kind: int, digest: bytes | None = None) -> None:
+        self.id.append(place[1])
+        self.node.append(place[2])
+        self.start.append(start)
+        self.end.append(end)
+        self.kind.append(kind)
+        self.hash.append(digest)
+
+
+#: Kinds of rows: a repeated range, one that occurs earlier too, and windows of
+#: a run's cut end: the partition's earliest occurrence, of several or the only one.
+ALL, LATER, OPEN, ALONE = range(4)
+
+
+def _resolve(run: list[tuple], least: int, cut: bool, out: _Found) -> None:
+    """Extend the matches of a run of (left, right, place) with equal prefixes.
+
+    A place is (id is not None, id, node, at). If the run may go on in another
+    partition, its windows' earliest places are handed on as open.
+    """
+    if len(run) < 2 and not cut:
+        return
+    sides: dict[tuple[bytes, bytes], set] = {}
+    for left, right, place in run:
+        sides.setdefault((left, right), set()).add(place)
+    groups = [(left, right, sorted(places)) for (left, right), places in sides.items()]
+    if len(groups) == 1 and len(groups[0][2]) < 2 and not cut:
+        return
+    windows: dict[bytes, tuple[int, list[int]]] = {}
+    for g, (left, right, _) in enumerate(groups):
+        lefts, rights = _word_ends(left), _word_ends(right)
+        for n in range(len(lefts) - 1, least - len(rights), -1):  # words on the left, many to few
+            window = left[lefts[len(lefts) - 1 - n] :] + right[: rights[least - n]]
+            windows.setdefault(window, (n, []))[1].append(g)
+    again: list[list[int]] = [[] for _ in groups]
+    earliest: list[set[int]] = [set() for _ in groups]
+    for window, (n, members) in windows.items():
+        home = min(members, key=lambda g: groups[g][2][0])
+        place = groups[home][2][0]
+        alone = len(members) == 1 and len(groups[home][2]) == 1
+        if not alone:
+            for g in members:
+                again[g].append(n)
+            earliest[home].add(n)
+        if cut:
+            out.add(place, place[3] - n, place[3] - n + least, ALONE if alone else OPEN, hashlib.md5(window).digest())
+    for (_, _, places), lefts, own in zip(groups, again, earliest, strict=True):
+        for i, place in enumerate(places):
+            for start, end in _ranges(lefts, place[3], least):
+                out.add(place, start, end, ALL)
+            for start, end in _ranges(lefts if i else [n for n in lefts if n not in own], place[3], least):
+                out.add(place, start, end, LATER)
+
+
+def _matched(contexts: DataFrame, least: int) -> DataFrame:
+    """id, node, start, end, kind, hash: what the sorted suffixes' runs yield."""
+    id_type = contexts.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prefix, held, first, kind = None, [], True, None
+
+        def made(out: _Found) -> pa.RecordBatch:
+            columns = [pa.array(out.id, kind), pa.array(out.node, pa.binary()), pa.array(out.start, pa.int64()), pa.array(out.end, pa.int64())]
+            columns += [pa.array(out.kind, pa.int32()), pa.array(out.hash, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["id", "node", "start", "end", "kind", "hash"])
+
+        for batch in batches:
+            kind, out = batch.schema.field("id").type, _Found()
+            for right, left, head, key, node, at in zip(*(batch.column(c).to_pylist() for c in ("right", "left", "head", "id", "node", "at")), strict=True):
+                if right[:head] != prefix:
+                    if held:
+                        _resolve(held, least, first, out)
+                        first = False
+                    prefix, held = right[:head], []
+                held.append((left, right, (key is not None, key, node, at)))
+            yield made(out)
+        if held:
+            out = _Found()
+            _resolve(held, least, True, out)
+            yield made(out)
+
+    by = ["right", "node", "at"]
+    rows = contexts.repartitionByRange(*by).sortWithinPartitions(*by)
+    return rows.mapInArrow(run, f"id {id_type}, node binary, start long, end long, kind int, hash binary")
+
+
+def _rejoined(found: DataFrame) -> DataFrame:
+    """id, node, start, end, kind of the open windows, now that all partitions' are known."""
+    place = F.struct("id", "node", "start")
+    rows = found.filter(F.col("kind") >= OPEN)
+    known = materialise(rows.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("first")))
+    rows = rows.join(small(known), "hash")
+    kinds = F.array_compact(
+        F.array(
+            F.when((F.col("n") > 1) & (F.col("kind") == ALONE), F.lit(ALL)),
+            F.when(~place.eqNullSafe(F.col("first")), F.lit(LATER)),
+        )
+    )
+    return rows.select("id", "node", "start", "end", F.explode(kinds).alias("kind"))
 
 
-def merge(starts: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """The ranges that windows of `least` from these starts cover."""
-    starts = np.unique(starts)
+def merge(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
+    """The ranges that ranges [start, end) cover, joined where they meet."""
     if not len(starts):
         return []
-    cut = np.flatnonzero(np.diff(starts) > least)
-    firsts, lasts = starts[np.append(0, cut + 1)], starts[np.append(cut, len(starts) - 1)]
-    return list(zip(firsts.tolist(), (lasts + least).tolist(), strict=True))
+    order = np.argsort(starts, kind="stable")
+    starts, ends = starts[order], np.maximum.accumulate(ends[order])
+    cut = np.flatnonzero(starts[1:] > ends[:-1])
+    return list(zip(starts[np.append(0, cut + 1)].tolist(), ends[np.append(cut, len(ends) - 1)].tolist(), strict=True))
 
 
-def _spans(windows: DataFrame, least: int) -> DataFrame:
-    """id, node, spans, later: merged windows that occur twice or more."""
-    place = F.struct("id", "node", "at")
-    repeated = windows.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last")
-    rows = windows.join(repeated.select("hash", "first"), "hash")
-    later = F.when(~place.eqNullSafe(F.col("first")), F.col("at"))
-    lists = rows.groupBy("id", "node").agg(F.collect_list("at").alias("all"), F.collect_list(later).alias("after"))
-    id_type = windows.schema["id"].dataType.simpleString()
-    ranges = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+def _spans(ranges: DataFrame) -> DataFrame:
+    """id, node, spans, later: merged ranges of each kind."""
+    span = F.struct("start", "end")
+    lists = ranges.groupBy("id", "node").agg(*(F.collect_list(F.when(F.col("kind") == k, span)).alias(n) for k, n in ((ALL, "all"), (LATER, "after"))))
+    id_type = ranges.schema["id"].dataType.simpleString()
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = []
             for name in ("all", "after"):
-                spans = [merge(x.values.to_numpy(), least) for x in batch.column(name)]
-                columns.append(pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], ranges))
+                spans = [merge(x.values.field("start").to_numpy(), x.values.field("end").to_numpy()) for x in batch.column(name)]
+                columns.append(pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], kind))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("node"), *columns], ["id", "node", "spans", "later"])
 
-    span = "array<struct<start:long,end:long>>"
-    return lists.mapInArrow(run, f"id {id_type}, node long, spans {span}, later {span}")
+    array = "array<struct<start:long,end:long>>"
+    return lists.mapInArrow(run, f"id {id_type}, node binary, spans {array}, later {array}")
 
 
 def repeated_passages(
@@ -205,7 +361,7 @@ def repeated_passages(
     if least < window + gram - 1:
         raise ValueError("least must be at least window + gram - 1")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = rows.withColumn("node", F.xxhash64("text"))
+    rows = rows.withColumn("node", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
     id_type = rows.schema["id"].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,18 +370,23 @@ def repeated_passages(
             n = pa.array(np.concatenate(n) if n else np.zeros(0, np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("node"), n], ["id", "node", "n_words"])
 
-    known = materialise(rows.mapInArrow(count, f"id {id_type}, node long, n_words long"))
-    kinds = known.groupBy("node").agg(F.count("*").alias("n_copies"), F.min(F.struct("id")).alias("o"))
-    kinds = materialise(kinds.filter("n_copies > 1").select("node", F.col("o.id").alias("least_id")))
-    several = kinds.select("node", "least_id", F.lit(True).alias("several"))
-    marked = known.join(several, "node", "left")
+    known = materialise(rows.mapInArrow(count, f"id {id_type}, node binary, n_words long"))
+    kinds = materialise(known.groupBy("node").agg(F.count("*").alias("n_copies"), F.min(F.struct("id")).alias("o")))
+    several = kinds.filter("n_copies > 1").select("node", F.col("o.id").alias("least_id"), F.lit(True).alias("several"))
+    marked = known.join(small(materialise(several)), "node", "left")
     is_copy = F.coalesce("several", F.lit(False)) & ~F.col("id").eqNullSafe(F.col("least_id"))
-    copies = marked.filter(is_copy).select(F.col("id").alias("c_id"), F.col("node").alias("c_node")).distinct()
-    same = F.col("id").eqNullSafe(F.col("c_id")) & (F.col("node") == F.col("c_node"))
-    texts = rows.join(small(copies), same, "left_anti")
-    survivors = _like_neighbours(_suffixes(texts, least, window, gram))
-    windows = materialise(_extended(texts, survivors, least, window, gram))
-    spans = _spans(windows, least).select(F.col("id").alias("s_id"), F.col("node").alias("s_node"), "spans", "later")
+    suffixes = materialise(_suffixes(rows, least, window, gram))
+    survivors = materialise(_like_neighbours(suffixes).groupBy("node").agg(F.collect_set("at").alias("ats")))
+    discard(suffixes)
+    # of equal texts, which are one node, that of the least id is read
+    named = survivors.join(kinds.select("node", F.col("o.id").alias("least_id")), "node").withColumnRenamed("node", "s_node")
+    mine = (rows["node"] == F.col("s_node")) & rows["id"].eqNullSafe(F.col("least_id"))
+    texts = rows.join(small(materialise(named)), mine).select("id", "node", "text", "ats")
+    contexts = materialise(_contexts(texts, least, window, gram))
+    found = materialise(_matched(contexts, least))
+    discard(survivors, contexts)
+    ranges = found.filter(F.col("kind") < OPEN).drop("hash").unionByName(_rejoined(found))
+    spans = _spans(ranges).select(F.col("id").alias("s_id"), F.col("node").alias("s_node"), "spans", "later")
     same = F.col("id").eqNullSafe(F.col("s_id")) & (F.col("node") == F.col("s_node"))
     out = marked.withColumn("is_copy", is_copy).join(spans, same, "left")
     none = F.array().cast("array<struct<start:long,end:long>>")
