@@ -2,25 +2,32 @@
 
 For every language and source the minimum-covariance-determinant estimate of
 transformed statistics is found by concentration steps (Rousseeuw and Van
-Driessen, 1999) from one deterministic start, medians and absolute deviations
-(after Hubert, Rousseeuw and Verdonck, 2012), and documents beyond a chi-square
-cut-off of the Mahalanobis distance are rejected.
+Driessen, 1999): two from each of three deterministic starts (after Hubert,
+Rousseeuw and Verdonck, 2012: medians and absolute deviations alone, and with
+the correlations of spatial signs or of hyperbolic tangents), then from the one
+of least determinant until no determinant falls any more. Documents beyond a
+chi-square cut-off of the Mahalanobis distance are rejected.
 
 A concentration step over all documents is an aggregation: distances under the
-present estimates are counted in narrow bins by group, the bins that hold the
-nearest half are summed into the next means and covariances. No group is
-gathered in one task. Groups of few documents take the estimate of their
-language, and those of small languages that of all documents.
+present estimates are counted in narrow bins by group, and the nearest part,
+with the bin at its edge in proportion, is summed into the next means and
+covariances. No group is gathered in one task.
+
+Estimates of few documents are unstable, so each is averaged with that of its
+language, and this with that of all documents, the wider one counting as
+`prior` documents (a regularisation after Boudt, Rousseeuw, Vanduffel and
+Verdonck, 2020). There is no size at which the rule changes: the prior's part
+falls as the group grows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skerry.llm._store import materialise, small
@@ -30,9 +37,12 @@ STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 FEATURES = ("word_length", "symbols", "upper", "marks", "dup_lines", "repeats")
 #: Least standard deviation of each feature: smaller spreads are no evidence.
 FLOOR = (0.05, 0.05, 0.05, 0.05, 0.08, 0.08)
-STEPS = 3
-LEAST_GROUP = 200
-BINS = 8  # to a doubling of the squared distance
+STARTS = 3
+#: Documents that the wider group's estimate counts for.
+PRIOR = 30.0
+#: A fall of the logarithm of a determinant that is none, and steps that are always enough.
+SETTLED, STEPS = 1e-3, 60
+BINS = 32  # to a doubling of the squared distance
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
@@ -160,36 +170,44 @@ def chi_square(p: int, z: float) -> float:
     return float(p * (1 - 2 / (9 * p) + z * np.sqrt(2 / (9 * p))) ** 3)
 
 
-def _invert(summed: DataFrame, keys: list[str], kept: float) -> DataFrame:
-    """keys, center, inverse (upper triangle) from sums of values and products."""
-    schema = ", ".join([*(f"{k} {t}" for k, t in summed.dtypes if k in keys), "center array<double>, inverse array<double>"])
-    factor = consistency(kept, len(FEATURES)) if kept < 1 else 1.0
+KEYS = ("level", "g_lang", "g_source")
+_SHAPE = "center array<double>, cov array<double>, inverse array<double>, logdet double, n double"
+
+
+def _upper(matrix: np.ndarray) -> list[float]:
+    return [float(f"{matrix[i, j]:.9g}") for i, j in _PAIRS]
+
+
+def _full(upper: list[float]) -> np.ndarray:
+    out = np.zeros((len(FEATURES), len(FEATURES)))
+    for v, (i, j) in zip(upper, _PAIRS, strict=True):
+        out[i, j] = out[j, i] = v
+    return out
+
+
+def _shape(center: np.ndarray, cov: np.ndarray, n: float) -> tuple:
+    """The columns of _SHAPE."""
+    return np.asarray(center).round(9).tolist(), _upper(cov), _upper(np.linalg.inv(cov)), float(np.linalg.slogdet(cov)[1]), float(n)
+
+
+def _mapped(table: DataFrame, keep: list[str], make: Callable) -> DataFrame:
+    """keep and _SHAPE, by make(row), for each row of a small table."""
+    kinds = dict(table.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            centers, inverses = [], []
-            for r in pdf.itertuples(index=False):
-                mean = np.array(r.s) / r.n
-                cov = np.zeros((len(FEATURES), len(FEATURES)))
-                for v, (i, j) in zip(r.p, _PAIRS, strict=True):
-                    cov[i, j] = cov[j, i] = v / r.n - mean[i] * mean[j]
-                inv = np.linalg.inv(cov * factor + np.diag(np.square(FLOOR)))
-                centers.append(mean.round(9).tolist())
-                inverses.append([float(f"{inv[i, j]:.9g}") for i, j in _PAIRS])
-            yield pdf[keys].assign(center=centers, inverse=inverses)
-
-    return summed.mapInPandas(run, schema)
-
-
-def _start(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, center, inverse from each feature's median and absolute deviations."""
-    mid = [F.percentile_approx(n, 0.5, 1000).alias(f"m{i}") for i, n in enumerate(FEATURES)]
-    mids = rows.groupBy(*keys).agg(*mid)
-    off = [F.percentile_approx(F.abs(F.col(n) - F.col(f"m{i}")), 0.5, 1000).alias(f"d{i}") for i, n in enumerate(FEATURES)]
-    spread = _on(rows, mids, keys).groupBy(*keys).agg(*(F.first(f"m{i}").alias(f"m{i}") for i in range(len(FEATURES))), *off)
-    var = [F.pow(F.col(f"d{i}") * 1.4826, F.lit(2)) + FLOOR[i] ** 2 for i in range(len(FEATURES))]
-    inverse = F.array(*(1.0 / var[i] if i == j else F.lit(0.0) for i, j in _PAIRS))
-    return spread.select(*keys, F.array(*(f"m{i}" for i in range(len(FEATURES)))).alias("center"), inverse.alias("inverse"))
+            made = [make(r) for r in pdf.itertuples(index=False)]
+            yield pdf[keep].assign(**{c: [m[i] for m in made] for i, c in enumerate(("center", "cov", "inverse", "logdet", "n"))})
+
+    return table.mapInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keep), _SHAPE]))
+
+
+def _levels(rows: DataFrame) -> DataFrame:
+    """KEYS and FEATURES: each row in all documents, its language, and its language and source."""
+    group = lambda n, lang, source: F.struct(F.lit(n).alias("level"), lang.alias("g_lang"), source.alias("g_source"))
+    none, lang = F.lit(""), F.col("lang")
+    each = F.array(group(0, none, none), group(1, lang, none), group(2, lang, F.col("source")))
+    return rows.select(*FEATURES, F.explode(each).alias("g")).select("g.*", *FEATURES)
 
 
 def _on(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
@@ -197,28 +215,102 @@ def _on(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(small(table), keys)
 
 
-def _estimate(rows: DataFrame, keys: list[str], kept: float, steps: int) -> DataFrame:
-    """keys, center, inverse: the estimate of each group of rows (keys, FEATURES)."""
-    now = materialise(_start(rows, keys))
-    sums = [
+def _starts(rows: DataFrame) -> DataFrame:
+    """KEYS, start, _SHAPE: each group's first estimates."""
+    keys, p = list(KEYS), range(len(FEATURES))
+    mids = materialise(rows.groupBy(*keys).agg(*(F.percentile_approx(n, 0.5, 1000).alias(f"m{i}") for i, n in enumerate(FEATURES))))
+    off = [F.percentile_approx(F.abs(F.col(n) - F.col(f"m{i}")), 0.5, 1000).alias(f"d{i}") for i, n in enumerate(FEATURES)]
+    spread = _on(rows, mids, keys).groupBy(*keys).agg(*(F.first(f"m{i}").alias(f"m{i}") for i in p), *off)
+    width = [F.sqrt(F.pow(F.col(f"d{i}") * 1.4826, F.lit(2)) + FLOOR[i] ** 2).alias(f"d{i}") for i in p]
+    spread = materialise(spread.select(*keys, *(f"m{i}" for i in p), *width))
+    scaled = _on(rows, spread, keys).select(*keys, *(((F.col(n) - F.col(f"m{i}")) / F.col(f"d{i}")).alias(f"z{i}") for i, n in enumerate(FEATURES)))
+    norm = F.greatest(F.sqrt(sum((F.col(f"z{i}") ** 2 for i in p), F.lit(0.0))), F.lit(1e-9))
+    signs = scaled.select(*keys, *((F.col(f"z{i}") / norm).alias(f"u{i}") for i in p), *(F.tanh(f"z{i}").alias(f"y{i}") for i in p))
+    products = lambda c: F.array(*(F.avg(F.col(f"{c}{i}") * F.col(f"{c}{j}")) for i, j in _PAIRS))
+    cross = signs.groupBy(*keys).agg(products("u").alias("u"), products("y").alias("y"), F.array(*(F.avg(f"y{i}") for i in p)).alias("mean"))
+    table = _on(materialise(cross), spread, keys).select("*", F.explode(F.array(*map(F.lit, range(STARTS)))).alias("start"))
+
+    def make(r: tuple) -> tuple:
+        shape = np.eye(len(FEATURES))
+        if r.start:
+            shape = _full(r.u) if r.start == 1 else _full(r.y) - np.outer(r.mean, r.mean)
+            scale = np.sqrt(np.maximum(np.diag(shape), 1e-9))
+            shape = 0.95 * shape / np.outer(scale, scale) + 0.05 * np.eye(len(FEATURES))
+        width = np.array([getattr(r, f"d{i}") for i in p])
+        return _shape([getattr(r, f"m{i}") for i in p], shape * np.outer(width, width), 0.0)
+
+    return _mapped(table, [*KEYS, "start"], make)
+
+
+def _concentrated(rows: DataFrame, now: DataFrame, kept: float) -> DataFrame:
+    """KEYS, start, _SHAPE: the estimates of the nearest `kept` part under those of `now`."""
+    keys = [*KEYS, "start"]
+    tries = now.groupBy(*KEYS).agg(F.collect_list(F.struct("start", "center", "inverse")).alias("tries"))  # STARTS at most
+    each = _on(rows, materialise(tries), list(KEYS)).select(*KEYS, *FEATURES, F.explode("tries").alias("t")).select(*KEYS, *FEATURES, "t.*")
+    d2 = F.greatest(_squared_distance(), F.lit(1e-9))
+    # sums by group and bin, of which there are some hundred a group
+    cells = each.groupBy(*keys, F.floor(F.log2(d2) * BINS).cast("int").alias("bin")).agg(
         F.count("*").alias("n"),
         F.array(*(F.sum(n) for n in FEATURES)).alias("s"),
         F.array(*(F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])) for i, j in _PAIRS)).alias("p"),
-    ]
-    for _ in range(steps):
-        d2 = F.greatest(_squared_distance(), F.lit(1e-9))
-        binned = _on(rows, now, keys).withColumn("bin", F.floor(F.log2(d2) * BINS).cast("int"))
-        # sums by group and bin, of which there are few hundred a group
-        cells = materialise(binned.groupBy(*keys, "bin").agg(*sums))
-        from pyspark.sql import Window
-
-        w = Window.partitionBy(*keys)
-        before = F.coalesce(F.sum("n").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        near = cells.withColumn("before", before).withColumn("all", F.sum("n").over(w)).filter(F.col("before") < kept * F.col("all"))
-        add = lambda c, n: F.array(*(F.sum(F.col(c)[i]) for i in range(n)))
-        step = near.groupBy(*keys).agg(F.sum("n").alias("n"), add("s", len(FEATURES)).alias("s"), add("p", len(_PAIRS)).alias("p"))
-        now = materialise(_invert(step, keys, kept))
-    return now
+    )
+    w = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("n").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    near = materialise(cells).withColumn("before", before).withColumn("all", F.sum("n").over(w)).filter(F.col("before") < kept * F.col("all"))
+    part = F.least(F.lit(1.0), (kept * F.col("all") - F.col("before")) / F.col("n"))
+    near = near.withColumn("part", part)
+    add = lambda c, n: F.array(*(F.sum(F.col("part") * F.col(c)[i]) for i in range(n)))
+    sums = near.groupBy(*keys).agg(
+        F.sum(F.col("part") * F.col("n")).alias("h"), F.max("all").alias("all"), add("s", len(FEATURES)).alias("s"), add("p", len(_PAIRS)).alias("p")
+    )
+    factor = consistency(kept, len(FEATURES)) if kept < 1 else 1.0
+
+    def make(r: tuple) -> tuple:
+        mean = np.array(r.s) / r.h
+        cov = _full(np.array(r.p) / r.h) - np.outer(mean, mean)
+        return _shape(mean, cov * factor + np.diag(np.square(FLOOR)), r.all)
+
+    return materialise(_mapped(sums, keys, make))
+
+
+def _estimate(rows: DataFrame, kept: float) -> DataFrame:
+    """KEYS, _SHAPE: the estimate of each group of rows (KEYS, FEATURES)."""
+    keys = list(KEYS)
+    now = materialise(_starts(rows))
+    for _ in range(2):
+        now = _concentrated(rows, now, kept)
+    columns = ["start", "center", "cov", "inverse", "logdet", "n"]
+    best = F.min_by(F.struct(*columns), F.struct("logdet", "start"))
+    now = materialise(now.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.*"))
+    for _ in range(STEPS):
+        after = _concentrated(rows, now, kept)
+        old = now.select(*keys, F.struct(*columns).alias("old"))
+        # bins are narrow but not points: an estimate that got no better is kept
+        fallen = F.col("logdet") < F.col("old.logdet") - SETTLED
+        both = after.select(*keys, F.struct(*columns).alias("new"), "logdet").join(old, keys)
+        now = materialise(both.select(*keys, fallen.alias("fallen"), F.when(fallen, F.col("new")).otherwise(F.col("old")).alias("b")).select(*keys, "fallen", "b.*"))
+        if not now.filter("fallen").limit(1).count():
+            break
+        now = now.drop("fallen")
+    return now.select(*keys, "center", "cov", "inverse", "logdet", "n")
+
+
+def _averaged(estimates: DataFrame, prior: float) -> DataFrame:
+    """lang, source, center, inverse: each group's estimate with its language's and that of all."""
+    of = lambda level, names: estimates.filter(F.col("level") == level).select(
+        *(F.col(g).alias(n) for g, n in names), *(F.col(c).alias(f"{c}{level}") for c in ("center", "cov", "n"))
+    )
+    own = of(2, [("g_lang", "lang"), ("g_source", "source")])
+    table = own.join(small(of(1, [("g_lang", "lang")])), "lang").crossJoin(F.broadcast(of(0, [])))  # the last has one row
+
+    def make(r: tuple) -> tuple:
+        center, cov = np.array(r.center0), _full(r.cov0)
+        for mean, own, n in ((r.center1, r.cov1, r.n1), (r.center2, r.cov2, r.n2)):
+            part = n / (n + prior)
+            center, cov = part * np.array(mean) + (1 - part) * center, part * _full(own) + (1 - part) * cov
+        return _shape(center, cov, r.n2)
+
+    return _mapped(table, ["lang", "source"], make).select("lang", "source", "center", "inverse")
 
 
 def judge(
@@ -229,8 +321,7 @@ def judge(
     source_col: str = "source",
     kept: float = 0.75,
     z: float = 5.0,
-    steps: int = STEPS,
-    least_group: int = LEAST_GROUP,
+    prior: float = PRIOR,
 ) -> DataFrame:
     """id, key, lang, source, STATS, base_failed, distance, kept of every row.
 
@@ -238,14 +329,15 @@ def judge(
     five-word windows that the text repeats. kept is false then, and if the
     squared Mahalanobis distance from the estimate of the row's language and
     source exceeds the chi-square value at z normal deviations. The estimates
-    are those of the nearest `kept` part of the rows that pass the base rules.
-    key is a hash of the text, which tells rows of one id apart.
+    are those of the nearest `kept` part of the rows that pass the base rules,
+    averaged with the wider groups' as `prior` documents. key is a hash of the
+    text, which tells rows of one id apart.
 
     Null texts have no words and fail. Null languages and sources are groups of
-    their own; groups of fewer than `least_group` rows use their language's
-    estimate, or that of all rows. Null ids and repeated rows are judged like
-    any others; ties at the cut-off are kept. Other columns are ignored. An
-    empty table gives an empty result.
+    their own, and a group may be of one row. Null ids and repeated rows are
+    judged like any others; ties at the cut-off are kept. Other columns are
+    ignored. An empty table gives an empty result, and without a row that passes
+    the base rules no distance is measured.
     """
     rows = docs.select(
         F.col(id_col).alias("id"),
@@ -258,48 +350,11 @@ def judge(
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     stats = materialise(stats.withColumn("base_failed", failed).select("*", *_features()))
     good = stats.filter("not base_failed")
-    sizes = materialise(good.groupBy("lang", "source").count())
-    by_lang = sizes.groupBy("lang").agg(F.sum("count").alias("in_lang"))
-    level = sizes.join(by_lang, "lang").select(
-        "lang",
-        "source",
-        F.when(F.col("count") >= least_group, F.lit(2)).when(F.col("in_lang") >= least_group, F.lit(1)).otherwise(0).alias("level"),
-    )
-    # the group that a row is measured by, which may be its language's or the whole
-    levelled = materialise(
-        _on(good, level, ["lang", "source"]).select(
-            "id", "key", "lang", "source", "level",
-            F.when(F.col("level") > 0, F.col("lang")).otherwise("").alias("g_lang"),
-            F.when(F.col("level") > 1, F.col("source")).otherwise("").alias("g_source"),
-            *FEATURES,
-        )
-    )
-    # a language's estimate is made from all of its rows, not only the small groups'
-    some = levelled.select("level").distinct().toPandas()["level"].tolist()
-    parts = [levelled.filter("level = 2")] if 2 in some else []
-    if 1 in some:
-        langs = levelled.filter("level = 1").select("lang").distinct()
-        parts.append(_on(levelled, langs, ["lang"]).withColumn("g_lang", F.col("lang")).withColumn("g_source", F.lit("")).withColumn("level", F.lit(1)))
-    if 0 in some:
-        parts.append(levelled.withColumn("g_lang", F.lit("")).withColumn("g_source", F.lit("")).withColumn("level", F.lit(0)))
-    keys = ["level", "g_lang", "g_source"]
-    columns = [*keys, *FEATURES]
-    if not parts:
-        none = F.lit(None).cast("double")
-        return stats.select("id", "key", "lang", "source", *STATS, "base_failed", none.alias("distance"), (~F.col("base_failed")).alias("kept"))
-    fitted = parts[0].select(columns)
-    for part in parts[1:]:
-        fitted = fitted.union(part.select(columns))
-    estimates = _estimate(fitted, keys, kept, steps)
-    marks = level.select(
-        "lang",
-        "source",
-        "level",
-        F.when(F.col("level") > 0, F.col("lang")).otherwise("").alias("g_lang"),
-        F.when(F.col("level") > 1, F.col("source")).otherwise("").alias("g_source"),
-    )
-    of_group = materialise(marks.join(estimates, keys).select("lang", "source", "center", "inverse"))
+    columns = ["id", "key", "lang", "source", *STATS, "base_failed"]
+    if not good.limit(1).count():
+        return stats.select(*columns, F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"))
+    of_group = materialise(_averaged(_estimate(_levels(good), kept), prior))
     d2 = F.when(~F.col("base_failed"), _squared_distance())
     judged = stats.join(small(of_group), ["lang", "source"], "left").withColumn("distance", d2)
-    verdict = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= chi_square(len(FEATURES), z))
-    return judged.select("id", "key", "lang", "source", *STATS, "base_failed", "distance", verdict.alias("kept"))
+    verdict = ~F.col("base_failed") & (F.col("distance") <= chi_square(len(FEATURES), z))
+    return judged.select(*columns, "distance", F.coalesce(verdict, F.lit(False)).alias("kept"))
