@@ -1,7 +1,7 @@
 """Toxicity scores: a linear classifier over NB-scaled character n-grams.
 
 After Wang and Manning, "Baselines and Bigrams" (2012): a text's features are
-the n-grams of bytes (A-Z lower-cased) that it holds, each scaled by its naive
+the n-grams of code points (A-Z lower-cased) that it holds, each scaled by its naive
 Bayes log-count ratio between toxic and other labelled texts, and a logistic
 regression is fitted on the scaled features. N-grams are hashed; those that
 tell the classes apart best are kept.
@@ -37,9 +37,18 @@ def held_out(doc_id) -> F.Column:  # noqa: ANN001
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
 
 
+def points(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points (A-Z lower-cased) of a chunk of UTF-8 texts, and their offsets."""
+    low = LOWER[data]
+    if not (low > 0x7F).any():
+        return low.astype(np.uint32), offs
+    begins = np.append(0, np.cumsum((low & 0xC0) != 0x80))
+    return np.frombuffer(low.tobytes().decode().encode("utf-32-le"), np.uint32), begins[offs]
+
+
 def grams(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(text, bucket) of every n-gram of a chunk of texts, one order at a time."""
-    low = LOWER[data].astype(np.uint32)
+    """(text, bucket) of every character n-gram of a chunk of texts, one order at a time."""
+    low, offs = points(data, offs)
     text = np.repeat(np.arange(len(offs) - 1, dtype=np.int32), np.diff(offs))
     for n in ORDERS:
         size = len(low) - n + 1
@@ -106,7 +115,7 @@ def fit_logistic(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.n
     return w, b
 
 
-def train(labelled: DataFrame, features: int = FEATURES, max_labelled: int = MAX_LABELLED) -> Model:
+def train(labelled: DataFrame, features: int = FEATURES) -> Model:
     """A model from rows (text, toxic); toxic is 0 or 1.
 
     Rows with a null label don't count, null texts are ''. Without rows of both
@@ -191,7 +200,7 @@ def score_toxicity(
     marks = marks.filter(~held_out("label_id")).orderBy(F.xxhash64("label_id"), "label_id", "toxic").limit(max_labelled)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     labelled = materialise(rows.join(F.broadcast(marks), F.col("id") == F.col("label_id")).select("text", "toxic"))
-    shared = docs.sparkSession.sparkContext.broadcast(train(labelled, features, max_labelled))
+    shared = docs.sparkSession.sparkContext.broadcast(train(labelled, features))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
