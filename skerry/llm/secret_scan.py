@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import base64
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -79,10 +81,14 @@ class Scanner:
         self.ratio, self.least = ratio, least
 
     def random_spans(self, text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-        """Runs, or parts of them, of few characters a token that no pattern span overlaps."""
+        """Runs, or parts of them, of few characters a token that no pattern span overlaps; `taken` is sorted by start."""
+
+        starts = [s for _, s, _ in taken]
+        reach = list(accumulate((e for _, _, e in taken), max))  # the furthest end so far
 
         def free(a: int, b: int) -> bool:
-            return not any(s < b and a < e for _, s, e in taken)
+            n = bisect_left(starts, b)
+            return not n or reach[n - 1] <= a
 
         out = []
         for m in RUN.finditer(text):
