@@ -8,7 +8,8 @@ permitted length that still holds its contents. Two readings of "least cost"
 (per word, and outright among the sizes that hold the item) are both tried,
 and the one whose bins cost less after downsizing is taken.
 
-Documents are dealt by hash into buckets of some two thousand, each packed by
+Documents are dealt by a hash of id, length and stored row number (so that rows
+without an id, or repeated ones, spread) into buckets of some two thousand, each packed by
 itself in one task: the number of buckets grows with the input, their size does
 not, and what the cut costs is a few part-filled bins in several hundred.
 """
@@ -64,7 +65,7 @@ def best_fit(lengths: list[int], sizes: list[int], costs: list[float]) -> tuple[
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """id, n_words of rows (id, text)."""
+    """id, n_words, row of rows (id, text); row tells repeated rows apart once stored."""
     id_type = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,7 +74,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64())], ["id", "n_words"])
 
-    return docs.mapInArrow(run, f"id {id_type}, n_words long")
+    return docs.mapInArrow(run, f"id {id_type}, n_words long").withColumn("row", F.monotonically_increasing_id())
 
 
 def pack(
@@ -108,7 +109,7 @@ def pack(
     largest = sizes[-1]
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["id", "n_words"], kind="stable")
+        pdf = pdf.sort_values(["id", "n_words", "row"], kind="stable")
         home = int(pdf["bucket"].iloc[0])
         full, rests, rows = 0, [], []
         for i, (key, n) in enumerate(zip(pdf["id"], pdf["n_words"].tolist(), strict=True)):
@@ -129,5 +130,5 @@ def pack(
         return out.astype({c: "Int64" for c in ("piece", "start", "length", "capacity", "position")})
 
     schema = f"id {id_type}, piece long, start long, length long, sequence_id string, capacity long, position long"
-    dealt = counted.withColumn("bucket", F.pmod(F.xxhash64("id", "n_words"), F.lit(n_buckets)))
+    dealt = counted.withColumn("bucket", F.pmod(F.xxhash64("id", "n_words", "row"), F.lit(n_buckets)))
     return dealt.groupBy("bucket").applyInPandas(place, schema).withColumnRenamed("id", id_col)
