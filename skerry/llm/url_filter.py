@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skerry.llm._store import materialise, small
+
 _UPPER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 _URL = re.compile(r"://([^/?#]*)([^?#]*)")
 #: Rules that a trie may hold; more are matched by a join.
@@ -33,7 +35,8 @@ class Trie:
 
     Each host node has a second trie, of path segments. A rule's last segment
     may be the beginning of a url's ('/en' fits '/english'), so the rules that
-    end below a segment node are kept there with what they ask of the next.
+    end below a segment node are kept there by what they ask of the next, with
+    the lengths that occur: a segment's prefixes of those lengths are looked up.
     """
 
     def __init__(self, rules: Iterable[tuple[str, str]]) -> None:
@@ -47,17 +50,19 @@ class Trie:
             node = node.setdefault(("paths",), {})
             for segment in whole:
                 node = node.setdefault(("segment", segment), {})
-            ends = node.setdefault(("ends",), {})
-            if ends.get(last, ("", ""))[1] != "block":  # of equal rules, block holds
-                ends[last] = (rule, verdict)
+            lengths, ends = node.setdefault(("ends",), (set(), {}))
+            lengths.add(len(last))
+            # of equal rules block holds, then the greater text
+            ends[last] = max(ends.get(last, (rule, verdict)), (rule, verdict), key=lambda e: (e[1] == "block", e[0]))
 
     @staticmethod
     def _path(node: dict, segments: list[str]) -> tuple[str, str] | None:
         found = None
         for segment in segments:
-            fits = [e for e in node.get(("ends",), ()) if segment.startswith(e)]
-            if fits:
-                found = node[("ends",)][max(fits, key=len)]
+            lengths, ends = node.get(("ends",), ((), {}))
+            n = max((n for n in lengths if n <= len(segment) and segment[:n] in ends), default=-1)
+            if n >= 0:
+                found = ends[segment[:n]]
             node = node.get(("segment", segment))
             if node is None:
                 break
@@ -75,14 +80,21 @@ class Trie:
         return found
 
 
-def _by_join(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """row, rule, verdict by an equi-join on host suffixes, for rule sets past the trie's bound."""
+def _by_join(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """host, path, rule, verdict by equi-joins, for rule sets past the trie's bound.
+
+    A url asks for each of its host's suffixes and, under those that have rules,
+    for its path's prefixes of the lengths that these rules have.
+    """
     labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, 1000), "."))
-    asked = pages.select("row", "path", F.explode(F.concat(suffixes, F.array(F.lit("")))).alias("rule_host"))
-    fits = asked.join(rules, "rule_host").filter(F.col("path").startswith(F.col("rule_path")))
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    asked = urls.select("host", "path", F.explode(F.array_distinct(F.concat(suffixes, F.array(F.lit(""))))).alias("rule_host"))
+    lengths = materialise(rules.select("rule_host", F.length("rule_path").alias("n")).distinct())
+    prefixes = asked.join(small(lengths), "rule_host").filter(F.length("path") >= F.col("n"))
+    prefixes = prefixes.withColumn("rule_path", F.substring("path", F.lit(1), F.col("n")))
+    fits = prefixes.join(small(rules), ["rule_host", "rule_path"])
     order = F.struct(F.length("rule_host"), F.length("rule_path"), F.col("verdict") == "block", "rule", "verdict")
-    return fits.groupBy("row").agg(F.max(order).alias("o")).select("row", "o.rule", "o.verdict")
+    return fits.groupBy("host", "path").agg(F.max(order).alias("o")).select("host", "path", "o.rule", "o.verdict")
 
 
 def filter_urls(
@@ -104,24 +116,24 @@ def filter_urls(
     rule without host and path fits. Repeated rows are judged each; null ids are
     kept; other columns are ignored. An empty table gives an empty result.
 
-    The trie is shared with the executors as long as there are at most
-    `trie_rules` rules; beyond that rules are joined on host suffixes instead.
+    The trie is broadcast as long as there are at most `trie_rules` rules (some
+    100 MB in a Python worker); beyond that rules are joined on host suffixes and
+    path prefixes, with the same result.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
     id_type = rows.schema["id"].dataType.simpleString()
     if len(rules) > trie_rules:
-        spark = pages.sparkSession
-        table = spark.createDataFrame(
+        table = pages.sparkSession.createDataFrame(
             [(*split_rule(r), r, v) for v, r in rules], "rule_host string, rule_path string, rule string, verdict string"
         )
-        split = _split(rows, id_type).withColumn("row", F.xxhash64("host", "path"))
-        best = _by_join(split.select("row", "host", "path").distinct(), table)
-        out = split.join(best, "row", "left")
+        split = materialise(_split(rows, id_type))
+        best = materialise(_by_join(split.select("host", "path").distinct(), materialise(table)))
+        out = split.join(small(best), ["host", "path"], "left")
         return out.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
-    shared = pages.sparkSession.sparkContext.broadcast(list(rules))
+    shared = pages.sparkSession.sparkContext.broadcast(Trie(rules))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(shared.value)
+        trie = shared.value
         for batch in batches:
             parts = [split_url(u) for u in batch.column("url").to_pylist()]
             found = [trie.match(*p) or (None, default) for p in parts]
