@@ -87,13 +87,22 @@ def _long_hits(docs: DataFrame, prints: DataFrame, windows: DataFrame) -> DataFr
     return rows.join(small(windows.filter(F.col("n") == SIZE).select("window").distinct()), "window", "left_semi").select("id", "key", "at", "n", "window")
 
 
-def _short_hits(docs: DataFrame, windows: DataFrame, n: int) -> DataFrame:
-    """id, key, at, n, window: the occurrences of items of n words, n below SIZE."""
-    at = F.sequence(F.lit(0), F.size("wh") - n)
-    grams = F.when(F.size("wh") >= n, F.transform(at, lambda i: F.xxhash64(F.lit(n), *_near("wh", i, n))))
-    rows = _hashed(docs, ["id", "key"]).select("id", "key", F.posexplode(grams).alias("at", "window"))
-    rows = rows.join(small(windows.filter(F.col("n") == n).select("window").distinct()), "window", "left_semi")
-    return rows.select("id", "key", "at", F.lit(n).alias("n"), "window")
+def _short_hits(docs: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame:
+    """id, key, at, n, window: the occurrences of items of these numbers of words, all below SIZE.
+
+    One pass reads the documents, whatever the number of lengths.
+    """
+    of_size = lambda n: F.when(
+        F.size("wh") >= n,
+        F.transform(
+            F.sequence(F.lit(0), F.size("wh") - n),
+            lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), F.xxhash64(F.lit(n), *_near("wh", i, n)).alias("window")),
+        ),
+    )
+    every = F.flatten(F.array_compact(F.array(*map(of_size, sizes))))
+    rows = _hashed(docs, ["id", "key"]).select("id", "key", F.explode(every).alias("w")).select("id", "key", "w.at", "w.n", "w.window")
+    wanted = windows.filter(F.col("n") < SIZE).select("n", "window").distinct()
+    return rows.join(small(wanted), ["n", "window"], "left_semi").select("id", "key", "at", "n", "window")
 
 
 def find_contamination(
@@ -130,9 +139,8 @@ def find_contamination(
     if SIZE in sizes:
         prints = materialise(_prints(hashed, []).distinct())
         hits = hits.union(_long_hits(rows, prints, windows))
-    for n in sorted(sizes):
-        if n < SIZE:
-            hits = hits.union(_short_hits(rows, windows, n))
+    if short := sorted(n for n in sizes if n < SIZE):
+        hits = hits.union(_short_hits(rows, windows, short))
     hits = materialise(hits)
     places = hits.groupBy("id", "key").agg(F.collect_set(F.struct("at", "n")).alias("p"))
     n_hit = F.size(F.array_distinct(F.flatten(F.transform("p", lambda p: F.sequence(p["at"], p["at"] + p["n"] - 1)))))
