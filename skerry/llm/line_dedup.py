@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm._store import free_name
+from skerry.llm._store import free_name, materialise, small
 
 WINDOW = 3
 _SPACE = " \t\r\f\x0b"
@@ -41,8 +41,9 @@ def _covered(windows: DataFrame, window: int) -> DataFrame:
     """id, key, gone: the non-blank lines that later occurrences cover."""
     place = F.struct("id", "key", "at")
     repeated = windows.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    repeated = repeated.filter("not first <=> last").select("w1", "w2", "first")
-    later = windows.join(repeated, ["w1", "w2"]).filter(~place.eqNullSafe(F.col("first")))
+    # stored, so that adaptive execution can split a window that many documents share
+    repeated = materialise(repeated.filter("not first <=> last").select("w1", "w2", "first"))
+    later = windows.join(small(repeated), ["w1", "w2"]).filter(~place.eqNullSafe(F.col("first")))
     same = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("key") == F.col("first.key"))
     start = F.when(same, F.greatest(F.col("at"), F.col("first.at") + window)).otherwise(F.col("at"))
     ranges = later.groupBy("id", "key").agg(F.collect_set(F.struct(start.alias("a"), (F.col("at") + window - 1).alias("b"))).alias("r"))
@@ -74,7 +75,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     other_id, other_key = free_name(names, "line_id"), free_name(names, "line_other_key")
     removals = _covered(windows, window).select(F.col("id").alias(other_id), F.col("key").alias(other_key), F.col("gone").alias(gone))
     same = keyed[id_col].eqNullSafe(F.col(other_id)) & (F.col(key) == F.col(other_key))
-    joined = keyed.join(removals.hint("shuffle_hash"), same, "left")
+    joined = keyed.join(small(materialise(removals)), same, "left")
     lines, full = free_name(names, "lines_all"), free_name(names, "lines_full")
     joined = joined.withColumn(lines, _split(text))
     joined = joined.withColumn(full, F.when(F.col(gone).isNotNull(), F.filter(F.transform(lines, lambda x, i: F.when(F.btrim(x, F.lit(_SPACE)) != "", i)), lambda i: i.isNotNull())))
