@@ -38,7 +38,7 @@ def _round(linked: DataFrame, quotas: list[int], rnd: int) -> tuple[DataFrame, i
     wanted = ranked.select(
         "group", F.slice(F.transform("by_n", lambda c: c["shard"]), 1, F.ceil(F.col("members") / min(quotas)).cast("int")).alias("aims")
     )
-    asked = linked.join(wanted, "group")
+    asked = linked.join(small(materialise(wanted)), "group")
     at = F.pmod(F.xxhash64("row", F.lit(rnd)), F.size("aims")).cast("int")
     stays = F.array_contains("aims", F.col("shard"))
     asked = asked.withColumn("aim", F.when(stays, F.col("shard")).otherwise(F.get("aims", at)))
@@ -123,7 +123,7 @@ def _whole(linked: DataFrame, quotas: list[int]) -> DataFrame:
     nth = materialise(numbered(cut, "nth", ["group"]))
     piece = F.get("tos", F.size(F.filter("upto", lambda b: b <= F.col("nth"))))
     rest = linked.join(plan.select("group"), "group", "left_anti").drop("shard")
-    rest = rest.join(at_home.union(moved), "group").select(*cols, F.col("to").alias("shard"))
+    rest = rest.join(small(materialise(at_home.union(moved))), "group").select(*cols, F.col("to").alias("shard"))
     return one.union(nth.select(*cols, piece.alias("shard"))).union(rest)
 
 
@@ -143,8 +143,7 @@ def assign_shards(
     columns are ignored. An empty table gives an empty result.
 
     Groups and rows are only joined, counted and stored; some numbers for each
-    shard (and, for slots, each partition) and the sizes of at most 65 groups a
-    shard reach the driver. A group that holds a third of all rows is counted by
+    shard and the sizes of at most 65 groups a shard reach the driver. A group that holds a third of all rows is counted by
     partial sums, and fills as few shards as it can.
     """
     if shards < 1:
@@ -156,13 +155,13 @@ def assign_shards(
         (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 16).alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
         F.when(text.isNotNull(), F.concat_ws("-", F.hex(h1), F.hex(h2))).alias("group"),
-        F.monotonically_increasing_id().alias("row"),
+        F.xxhash64(F.col(id_col), h1, h2).alias("row"),
     )
     rows = materialise(rows)
     total = rows.count()
     quotas = [total // shards + (s < total % shards) for s in range(shards)]
     groups = rows.filter("group is not null").groupBy("group").count().filter("count > 1").select("group", F.lit(True).alias("linked"))
-    marked = materialise(rows.join(groups, "group", "left").withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")))
+    marked = materialise(rows.join(small(materialise(groups)), "group", "left").withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")))
     linked = materialise(marked.filter("linked").drop("linked"))
     if min(quotas) > 0:
         for rnd in range(1, rounds + 1):
