@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from skerry.llm import decontaminate, line_dedup
 from skerry.llm.minhash import near_duplicates
 from skerry.llm.packing import pack
@@ -104,7 +103,6 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
-    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op2_url_filter": _URL_ORACLE,
