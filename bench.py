@@ -7,9 +7,8 @@ import os
 import time
 from pathlib import Path
 
-from pyspark.sql import SparkSession
-
 from skerry.plans import catalogue
+from skerry.session import session
 
 HEADLINE = (
     "count_star", "scan_filter_project", "scalar_agg", "group_agg", "count_distinct", "pricing_summary", "forecast_revenue",
@@ -21,15 +20,8 @@ HEADLINE = (
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = (
-        SparkSession.builder.master(f"local[{cpus}]")
-        .config("spark.sql.shuffle.partitions", cpus)
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "8g")
-        .getOrCreate()
-    )
+    settings = {"spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"}
+    spark = session("bench", f"local[{cpus}]", settings)
     spark.sparkContext.setLogLevel("ERROR")
     took = {}
     for name in HEADLINE:

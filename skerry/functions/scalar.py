@@ -14,8 +14,10 @@ _SPACE = r"[\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 
 # --- NULL handling and choice
-def text(x: Column) -> Column:
-    return F.coalesce(x.cast("string"), F.lit("NULL"))
+def text(x: Column, kind: str = "string") -> Column:
+    """What is shown of a value; bytes are shown by their number."""
+    shown = F.format_string("[%d bytes]", F.octet_length(x)) if kind == "binary" else x.cast("string")
+    return F.coalesce(F.when(x.isNotNull(), shown), F.lit("NULL"))
 
 
 def nz(x: Column, default: Column | str = "") -> Column:
@@ -30,14 +32,14 @@ def isempty(x: Column) -> Column:
     return (x.isNull() | (x.cast("string") == "")).cast("int")
 
 
-def truth(x: Column, kind: str = "boolean") -> Column:
-    """IIF's and SWITCH's truth: numbers and numeric text non-zero, 'true', else non-blank text."""
-    if kind == "boolean":
-        return F.coalesce(x, F.lit(False))
-    if kind != "string":
-        return F.coalesce(x != 0, F.lit(False))
-    number = x.try_cast("double")
-    return F.coalesce(number != 0, x.try_cast("boolean"), F.trim(x) != "", F.lit(False))
+def truth(x: Column) -> Column:
+    """IIF's and SWITCH's truth of a value of any type.
+
+    Numbers and numeric text if not zero, 'true' and 'false' by their name, other
+    text if not blank; NULL is false.
+    """
+    shown = x.cast("string")
+    return F.coalesce(shown.try_cast("double") != 0, shown.try_cast("boolean"), F.trim(shown) != "", F.lit(False))
 
 
 def iif(condition: Column, yes: Column, no: Column) -> Column:
@@ -65,7 +67,9 @@ def ifnull(a: Column, b: Column) -> Column:
 
 # --- text
 def length(x: Column) -> Column:
-    return F.length(x.cast("string"))
+    """In UTF-16 units: characters beyond the basic plane count twice."""
+    shown = x.cast("string")
+    return F.length(shown) + F.regexp_count(shown, F.lit(r"[\x{10000}-\x{10FFFF}]"))
 
 
 def left(x: Column, n: Column | int) -> Column:
@@ -131,32 +135,57 @@ def val(x: Column) -> Column:
 
 
 # --- dates; texts are read as ISO dates and times
-def _moment(x: Column, kind: str) -> Column:
-    return x if kind in ("timestamp", "timestamp_ntz", "date") else x.try_cast("timestamp")
+_EPOCH = "TIMESTAMP '1899-12-30 00:00:00'"
+
+
+def now_text() -> Column:
+    return F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")
+
+
+def date_today() -> Column:
+    return F.date_format(F.current_timestamp(), "yyyy-MM-dd")
+
 
+def time_today() -> Column:
+    return F.date_format(F.current_timestamp(), "HH:mm:ss")
 
-def year(x: Column, kind: str = "timestamp") -> Column:
-    return F.year(_moment(x, kind))
 
+def _moment(x: Column, ole: bool = False) -> Column:
+    """The moment that a date, a timestamp or its text names, else NULL.
 
-def month(x: Column, kind: str = "timestamp") -> Column:
-    return F.month(_moment(x, kind))
+    ole: a number, or its text, is days since the end of 1899.
+    """
+    shown = x.cast("string")
+    read = shown.try_cast("timestamp")
+    if not ole:
+        return F.when(shown.rlike(r"[-:]"), read)
+    days = F.when(shown.rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)\s*$"), shown.try_cast("double"))
+    days = F.when(days.between(-657434, 2958466), days)
+    return F.when(days.isNotNull(), F.expr(_EPOCH) + F.make_dt_interval(secs=days * 86400)).otherwise(read)
 
 
-def day(x: Column, kind: str = "timestamp") -> Column:
-    return F.dayofmonth(_moment(x, kind))
+def year(x: Column) -> Column:
+    return F.year(_moment(x, True))
 
 
-def hour(x: Column, kind: str = "timestamp") -> Column:
-    return F.hour(_moment(x, kind))
+def month(x: Column) -> Column:
+    return F.month(_moment(x, True))
 
 
-def minute(x: Column, kind: str = "timestamp") -> Column:
-    return F.minute(_moment(x, kind))
+def day(x: Column) -> Column:
+    return F.dayofmonth(_moment(x, True))
 
 
-def second(x: Column, kind: str = "timestamp") -> Column:
-    return F.second(_moment(x, kind))
+def hour(x: Column) -> Column:
+    return F.hour(_moment(x))
+
+
+def minute(x: Column) -> Column:
+    return F.minute(_moment(x))
+
+
+def second(x: Column) -> Column:
+    return F.second(_moment(x))
 
 
 def date_text(x: Column) -> Column:
@@ -237,12 +266,14 @@ def round_(x: Column, digits: int = 0) -> Column:
     return F.bround(x, digits) if 0 <= digits <= 15 else F.lit(None).cast("double")
 
 
-def int_(x: Column) -> Column:
-    return F.floor(x).cast("double")
+def int_(x: Column, kind: str = "double") -> Column:
+    """The floor, of the value's type: decimals stay exact."""
+    return F.floor(x).cast(kind)
 
 
-def fix(x: Column) -> Column:
-    return F.signum(x) * F.floor(F.abs(x))
+def fix(x: Column, kind: str = "double") -> Column:
+    """Towards zero, of the value's type."""
+    return F.when(x < 0, -F.floor(-x)).otherwise(F.floor(x)).cast(kind)
 
 
 def sgn(x: Column) -> Column:
@@ -259,12 +290,19 @@ def cdbl(x: Column) -> Column:
     return F.regexp_replace(x.cast("string"), ",", "").try_cast("double")
 
 
+def _whole(x: Column, kind: str) -> Column:
+    """Half to even without a detour over doubles, which hold no more than 53 bits."""
+    plain = F.regexp_replace(x.cast("string"), ",", "")
+    exact = F.bround(plain.try_cast("decimal(38,18)")).try_cast(kind)
+    return F.coalesce(exact, F.bround(plain.try_cast("double")).try_cast(kind))
+
+
 def cint(x: Column) -> Column:
-    return F.bround(cdbl(x)).try_cast("int")
+    return _whole(x, "int")
 
 
 def clng(x: Column) -> Column:
-    return F.bround(cdbl(x)).try_cast("bigint")
+    return _whole(x, "bigint")
 
 
 def cbool(x: Column) -> Column:
@@ -309,7 +347,8 @@ FUNCTIONS = {
     "RIGHT": right, "MID": mid, "SUBSTR": mid, "SUBSTRING": mid, "TRIM": trim, "LTRIM": ltrim, "RTRIM": rtrim,
     "UPPER": F.upper, "UCASE": F.upper, "LOWER": F.lower, "LCASE": F.lower, "INSTR": instr,
     "ORDINAL_STARTS_WITH": ordinal_starts_with, "ORDINAL_ENDS_WITH": ordinal_ends_with,
-    "ORDINAL_CONTAINS": ordinal_contains, "REPLACE": replace, "STRCOMP": strcomp, "VAL": val, "YEAR": year,
+    "ORDINAL_CONTAINS": ordinal_contains, "REPLACE": replace, "STRCOMP": strcomp, "VAL": val, "DATE": date_today,
+    "TIME": time_today, "NOW": now_text, "DATETIME": now_text, "YEAR": year,
     "MONTH": month, "DAY": day, "HOUR": hour, "MINUTE": minute, "SECOND": second, "DATEADD": dateadd,
     "DATEDIFF": datediff, "DATEPART": datepart, "DATESERIAL": dateserial, "TIMESERIAL": timeserial,
     "WEEKDAY": weekday, "MONTHNAME": monthname, "ABS": abs_, "ROUND": round_, "INT": int_, "FLOOR": int_, "FIX": fix,

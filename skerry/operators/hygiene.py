@@ -19,21 +19,52 @@ def _keys(df: DataFrame, on: list[Key]) -> list[Column]:
     return [x.alias(f"_key{i}") for i, x in enumerate(made)]
 
 
-def find_duplicates(df: DataFrame, on: list[Key], row_id: str) -> DataFrame:
-    """Groups of more than one row with equal keys (NULLs are equal); the least id wins."""
-    names = [k if isinstance(k, str) else k[0] for k in on]
+def shown(column: Column, kind: str) -> Column:
+    """A key's value as text that tells NULL, text and numbers apart."""
+    plain = column.cast("string")
+    quoted = F.concat(F.lit("'"), F.replace(plain, F.lit("'"), F.lit("''")), F.lit("'")) if kind.startswith("string") else plain
+    return F.coalesce(quoted, F.lit("NULL"))
+
+
+def _named(on: list[Key]) -> list[str]:
+    return [k if isinstance(k, str) else k[0] for k in on]
+
+
+def find_duplicates(df: DataFrame, on: list[Key], row_id: str, primary_key: str | None = None) -> DataFrame:
+    """Groups of more than one row with equal keys (NULLs are equal); the least id wins.
+
+    The contract asks for all ids of a group in one value; duplicate_members()
+    gives them as rows, which no hot key can outgrow.
+    """
+    names, kinds, pk = _named(on), dict(df.dtypes), primary_key or row_id
     keys = _keys(df, on)
-    shown = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("[NULL]")) for c in names))
-    rows = df.select(*keys, F.col(row_id).alias("_id"), shown.alias("_shown"))
+    values = F.concat(F.lit("["), F.concat_ws(", ", *(shown(F.col(c), kinds[c]) for c in names)), F.lit("]"))
+    rows = df.select(*keys, F.col(row_id).alias("_id"), F.col(pk).cast("string").alias("_pk"), values.alias("_shown"))
     groups = rows.groupBy(*(f"_key{i}" for i in range(len(keys)))).agg(
-        F.min_by("_shown", "_id").alias("key_values"), F.count("*").alias("group_size"), F.sort_array(F.collect_list("_id")).alias("_ids")
+        F.min_by("_shown", "_id").alias("key_values"), F.count("*").alias("group_size"), F.sort_array(F.collect_list(F.struct("_id", "_pk"))).alias("_ids")
     )
-    rest = F.array_join(F.transform(F.slice("_ids", F.lit(2), F.size("_ids")), lambda x: x.cast("string")), ",")
+    rest = F.slice("_ids", F.lit(2), F.size("_ids"))
+    joined = lambda c: F.array_join(F.transform(rest, lambda x: x[c].cast("string")), ",")
+    first = F.element_at("_ids", 1)
     return groups.filter("group_size > 1").select(
-        "key_values", "group_size", F.element_at("_ids", 1).alias("winner_rowid"), rest.alias("duplicate_rowids")
+        "key_values",
+        "group_size",
+        first["_id"].alias("winner_rowid"),
+        first["_pk"].alias("winner_primary_key"),
+        joined("_id").alias("duplicate_rowids"),
+        joined("_pk").alias("duplicate_primary_keys"),
     )
 
 
+def duplicate_members(df: DataFrame, on: list[Key], row_id: str) -> DataFrame:
+    """rowid, winner_rowid of every row of a group of more than one."""
+    keyed = df.select(F.col(row_id).alias("rowid"), *_keys(df, on))
+    names = [c for c in keyed.columns if c.startswith("_key")]
+    groups = keyed.groupBy(*names).agg(F.min("rowid").alias("winner_rowid"), F.count("*").alias("_n")).filter("_n > 1")
+    same = [keyed[c].eqNullSafe(groups[c]) for c in names]
+    return keyed.join(groups, same).select("rowid", "winner_rowid")
+
+
 def dedup(df: DataFrame, on: list[Key], row_id: str, keep: str = "first") -> DataFrame:
     """The rows with the least (or, for 'last', the greatest) id of their keys.
 
@@ -70,22 +101,59 @@ def merge_duplicates(df: DataFrame, on: list[Key], row_id: str) -> DataFrame:
     return merged.select(*(F.col(c) if c == row_id else filled[c].alias(c) for c in df.columns))
 
 
-def validate(df: DataFrame, rules: list[tuple[str, str, str, str]], row_id: str, table: str) -> DataFrame:
+def merge_summary(df: DataFrame, on: list[Key], row_id: str, table: str) -> DataFrame:
+    """What merge_duplicates() changes: groups, rows deleted, kept and updated, and conflicts.
+
+    A conflict is a column that is NULL in the winner and for which the others
+    offer several values; merge_conflicts counts them by column, NULL if none.
+    """
+    names = _named(on)
+    others = [c for c in df.columns if c != row_id and c not in names]
+    keyed = df.select("*", *_keys(df, on))
+    keys = [c for c in keyed.columns if c.startswith("_key")]
+    empty = [F.min_by(F.struct(c), row_id)[c].isNull().alias(f"_e_{c}") for c in others]
+    offers = [F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(f"_f_{c}") for c in others]
+    groups = keyed.groupBy(*keys).agg(F.count("*").alias("_n"), *empty, *offers)
+    agreed = [F.col(f"_e_{c}") & F.col(f"_f_{c}.lo").isNotNull() & (F.col(f"_f_{c}.lo") == F.col(f"_f_{c}.hi")) for c in others]
+    clash = [F.coalesce(F.col(f"_e_{c}") & (F.col(f"_f_{c}.lo") != F.col(f"_f_{c}.hi")), F.lit(False)) for c in others]
+    filled = reduce(lambda a, b: a | b, (F.coalesce(x, F.lit(False)) for x in agreed), F.lit(False))
+    counts = groups.agg(
+        F.count(F.when(F.col("_n") > 1, 1)).alias("duplicate_group_count"),
+        F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("rows_deleted"),
+        F.count("*").alias("rows_kept"),
+        F.count(F.when(filled, 1)).alias("rows_updated"),
+        *(F.count(F.when(x, 1)).alias(f"_c_{c}") for c, x in zip(others, clash, strict=True)),
+    )
+    total = reduce(lambda a, b: a + b, (F.col(f"_c_{c}") for c in others), F.lit(0).cast("long"))
+    listed = F.concat_ws(", ", *(F.when(F.col(f"_c_{c}") > 0, F.concat(F.lit(f"{c}: "), F.col(f"_c_{c}").cast("string"))) for c in others))
+    return counts.select(
+        F.lit(table).alias("table_name"), "duplicate_group_count", "rows_deleted", "rows_kept", "rows_updated",
+        total.alias("merge_conflict_count"), F.nullif(listed, F.lit("")).alias("merge_conflicts"),
+    )
+
+
+def validate(df: DataFrame, rules: list[tuple[str, str | None, str, str]], row_id: str, table: str, primary_key: str | None = None) -> DataFrame:
     """Rows that break (name, column, predicate, message) rules: a predicate not TRUE is a violation."""
     found = [
-        F.when(~F.coalesce(F.expr(test), F.lit(False)), F.struct(F.lit(name).alias("rule_name"), F.lit(column).alias("column_name"), F.lit(message).alias("message")))
+        F.when(
+            ~F.coalesce(F.expr(test), F.lit(False)),
+            F.struct(F.lit(name).alias("rule_name"), F.lit(column).cast("string").alias("column_name"), F.lit(message).alias("message")),
+        )
         for name, column, test, message in rules
     ]
     broken = F.filter(F.array(*found), lambda x: x.isNotNull())
-    rows = df.select(F.col(row_id).alias("rowid"), F.explode(broken).alias("b"))
-    return rows.select("b.rule_name", F.lit(table).alias("table_name"), "b.column_name", "rowid", "b.message")
+    rows = df.select(F.col(row_id).alias("rowid"), F.col(primary_key or row_id).cast("string").alias("primary_key"), F.explode(broken).alias("b"))
+    return rows.select("b.rule_name", F.lit(table).alias("table_name"), "b.column_name", "rowid", "primary_key", "b.message")
 
 
-def find_orphans(child: DataFrame, column: str, parent: DataFrame, parent_column: str, row_id: str, child_table: str, parent_table: str) -> DataFrame:
+def find_orphans(
+    child: DataFrame, column: str, parent: DataFrame, parent_column: str, row_id: str, child_table: str, parent_table: str, constraint: str | None = None
+) -> DataFrame:
     """Child rows whose value, unless NULL, no parent has."""
     values = parent.select(F.col(parent_column).alias("_parent"))
     lost = child.filter(F.col(column).isNotNull()).join(values, child[column] == F.col("_parent"), "left_anti")
     return lost.select(
+        F.lit(constraint).cast("string").alias("constraint_name"),
         F.lit(child_table).alias("child_table"),
         F.lit(column).alias("child_column"),
         F.col(row_id).alias("child_rowid"),
@@ -96,38 +164,54 @@ def find_orphans(child: DataFrame, column: str, parent: DataFrame, parent_column
 
 
 def compare(source: DataFrame, target: DataFrame, key: str) -> DataFrame:
-    """Rows only in one of two tables, or changed, with the names of the changed columns."""
-    both = source.alias("s").join(target.alias("t"), F.col(f"s.{key}") == F.col(f"t.{key}"), "full")
+    """Rows only in one of two tables, or changed, with the names of the changed columns.
+
+    A NULL key equals a NULL key. Keys are unique on either side.
+    """
+    s, t = source.withColumn("_here", F.lit(True)).alias("s"), target.withColumn("_here", F.lit(True)).alias("t")
+    both = s.join(t, F.col(f"s.{key}").eqNullSafe(F.col(f"t.{key}")), "full")
     columns = [c for c in source.columns if c != key]
     changed = F.concat_ws(",", *(F.when(~F.col(f"s.{c}").eqNullSafe(F.col(f"t.{c}")), F.lit(c)) for c in columns))
-    kind = F.when(F.col(f"t.{key}").isNull(), "SourceOnly").when(F.col(f"s.{key}").isNull(), "TargetOnly").when(changed != "", "Changed")
+    kind = F.when(F.col("t._here").isNull(), "SourceOnly").when(F.col("s._here").isNull(), "TargetOnly").when(changed != "", "Changed")
     out = both.select(F.coalesce(f"s.{key}", f"t.{key}").alias(key), kind.alias("difference"), F.when(kind == "Changed", changed).otherwise("").alias("changed_columns"))
     return out.filter("difference is not null")
 
 
-def checksum(df: DataFrame, partitions: int = 256) -> DataFrame:
-    """Order-free, repeat-preserving digests by hash partition."""
-    h = F.xxhash64(*df.columns)
+def checksum(df: DataFrame, partitions: int = 256, portable: bool = False) -> DataFrame:
+    """Order-free, repeat-preserving digests by hash partition.
+
+    portable: of md5 over the values' text (sixty bits of it; columns whose text
+    all engines write alike), else of xxhash64.
+    """
+    if portable:
+        shown = F.concat_ws("|", *(F.col(c).cast("string") for c in df.columns))
+        h = F.conv(F.substring(F.md5(shown), 1, 15), 16, 10).cast("long")
+    else:
+        h = F.xxhash64(*df.columns)
     rows = df.select(h.alias("h"))
     return rows.groupBy(F.pmod("h", F.lit(partitions)).alias("bucket")).agg(
-        F.count("*").alias("rows"), F.sum(F.col("h").cast("decimal(38,0)")).alias("digest")
+        F.count("*").alias("rows"), F.sum(F.col("h").cast("decimal(20,0)")).cast("decimal(38,0)").alias("digest")
     )
 
 
 def column_stats(df: DataFrame) -> DataFrame:
-    """distinct, non-null, least and greatest of every column, in one aggregation."""
+    """distinct, non-null, least and greatest of every column.
+
+    Each column is reduced to its values before they are counted, from a scan of
+    that column alone, so that no row is repeated for each column.
+    """
     parts = []
     for c in df.columns:
+        values = df.select(F.col(c).alias("v")).groupBy("v").agg(F.count("v").alias("n"))
         parts.append(
-            F.struct(
-                F.lit(c).alias("column_name"),
-                F.count_distinct(F.col(c)).alias("distinct_count"),
-                F.count(c).alias("non_null_count"),
-                F.min(c).cast("string").alias("min_value"),
-                F.max(c).cast("string").alias("max_value"),
-            ).alias(c)
+            values.agg(
+                F.count("v").alias("distinct_count"),
+                F.coalesce(F.sum("n"), F.lit(0)).alias("non_null_count"),
+                F.min("v").cast("string").alias("min_value"),
+                F.max("v").cast("string").alias("max_value"),
+            ).select(F.lit(c).alias("column_name"), "*")
         )
-    return df.agg(F.array(*parts).alias("stats")).select(F.explode("stats").alias("s")).select("s.*")
+    return union_all(parts)
 
 
 def heavy_hitters(df: DataFrame, column: str, least_ppm: int = 10_000) -> DataFrame:
@@ -147,12 +231,16 @@ def histogram(df: DataFrame, column: str, buckets: int = 8) -> DataFrame:
 
 
 def prefix_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Distinct counts of a column list's prefixes."""
-    exprs = [F.count_distinct(*(F.col(c) for c in columns[: i + 1])).alias(f"n{i}") for i in range(len(columns))]
-    names = [",".join(columns[: i + 1]) for i in range(len(columns))]
-    wide = df.agg(*exprs)
-    rows = [F.struct(F.lit(n).alias("prefix"), F.col(f"n{i}").alias("distinct_count")) for i, n in enumerate(names)]
-    return wide.select(F.explode(F.array(*rows)).alias("p")).select("p.*")
+    """Distinct counts of a column list's prefixes; rows with a NULL in a prefix don't count for it.
+
+    Each prefix is counted from the distinct rows of the next longer one.
+    """
+    parts, rows = [], df.select(*columns)
+    for n in range(len(columns), 0, -1):
+        rows = rows.select(*columns[:n]).distinct()
+        count = rows.dropna().agg(F.count("*").alias("distinct_count"))
+        parts.insert(0, count.select(F.lit(",".join(columns[:n])).alias("prefix"), "distinct_count"))
+    return union_all(parts)
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:

@@ -7,7 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skerry.session import views
+from skerry.operators.joins import not_in
+from skerry.session import table, views
 
 _TABLES = "region nation customer supplier part orders lineitem events documents labels embeddings pages benchmark conversations".split()
 
@@ -38,7 +39,7 @@ TEXTS = {
     "three_valued_logic": "SELECT o_orderkey FROM orders WHERE NOT (NULLIF(o_orderstatus, 'O') = 'F' AND o_totalprice > 0) OR NULLIF(o_orderstatus, 'F') <> 'O'",
     "in_list_null": "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (1, 2, NULLIF(o_orderkey, o_orderkey))",
     "constant_row": "SELECT 1 + 2 AS three, 'x' AS letter",
-    "arithmetic": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, -l_linenumber AS negated, CAST(l_quantity AS BIGINT) * 3 - 1 AS value FROM lineitem WHERE l_orderkey < 50",
+    "arithmetic": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, -l_linenumber AS negated, CAST(l_quantity AS BIGINT) * 3 - 1 AS value FROM lineitem",
     "cast_types": "SELECT p_partkey, CAST(p_retailprice AS DECIMAL(18,2)) AS price, CAST(p_size AS DOUBLE) AS size_real, CAST(p_partkey AS VARCHAR(20)) AS key_text FROM part",
     # joins
     "inner_join_equi": "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 30000",
@@ -77,8 +78,8 @@ TEXTS = {
     # sort, limit, distinct, set operations
     "top_n_sort": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10",
     "limit_offset": "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 5 OFFSET 20",
-    "sort_nulls": "SELECT o_orderkey, NULLIF(o_orderstatus, 'O') AS status FROM orders ORDER BY status NULLS FIRST, o_orderkey LIMIT 50",
-    "sort_ordinal": "SELECT n_regionkey, n_name FROM nation ORDER BY 1 DESC, 2 LIMIT 7",
+    "sort_nulls": "SELECT o_orderkey, NULLIF(o_orderstatus, 'O') AS status FROM orders ORDER BY status NULLS FIRST, o_orderkey",
+    "sort_ordinal": "SELECT n_regionkey, n_name FROM nation ORDER BY 1 DESC, 2",
     "select_distinct": "SELECT DISTINCT c_mktsegment, c_nationkey FROM customer",
     "union": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier",
     "union_all": "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier",
@@ -102,9 +103,12 @@ TEXTS = {
     "ts_range_summary": "SELECT event_type, COUNT(*) AS n, MIN(value) AS lo, MAX(value) AS hi, CAST(SUM(CAST(value AS DECIMAL(18,6))) AS DOUBLE) AS total FROM events WHERE ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts < TIMESTAMP '2024-01-20 00:00:00' GROUP BY event_type",
 }
 
-#: The same queries over whole tables: the text without its id filter or LIMIT.
-CUTS = {"arithmetic": " WHERE l_orderkey < 50", "sort_nulls": " LIMIT 50", "sort_ordinal": " LIMIT 7"}
-TEXTS |= {f"{name}_all": TEXTS[name].removesuffix(cut) for name, cut in CUTS.items()}
-
 QUERIES = {name: query(text) for name, text in TEXTS.items()}
+# NOT IN over a subquery: the operator in place of Spark's broadcast
+QUERIES["anti_not_in"] = lambda spark, d: not_in(
+    table(spark, d, "documents").select("doc_id"), "doc_id", table(spark, d, "labels").filter("doc_id is not null"), "doc_id"
+)
+QUERIES["anti_not_in_null"] = lambda spark, d: not_in(
+    table(spark, d, "orders"), "o_orderstatus", table(spark, d, "orders").selectExpr("nullif(o_orderstatus, 'O') AS status"), "status"
+).select("o_orderkey")
 ORACLES = dict(TEXTS)

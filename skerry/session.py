@@ -10,15 +10,14 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.parquet.aggregatePushdown": "true",
 }
 
 
-def session(name: str = "skerry", master: str | None = None, **settings: str) -> SparkSession:
-    """A session with the engine's settings; `settings` use _ for the dots."""
+def session(name: str = "skerry", master: str | None = None, settings: dict[str, str] | None = None) -> SparkSession:
+    """A session with the engine's settings and those given."""
     builder = SparkSession.builder.appName(name)
     builder = builder.master(master) if master else builder
-    for key, value in (SETTINGS | {k.replace("_", "."): v for k, v in settings.items()}).items():
+    for key, value in (SETTINGS | (settings or {})).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

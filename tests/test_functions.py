@@ -11,7 +11,9 @@ def cases():
     T = lambda s: F.lit(s)
     TS = lambda s: F.lit(s).cast("timestamp")
     return [
-        (S.text(NULL), "NULL"), (S.nz(T(""), "d"), "d"), (S.isempty(NULL), 1), (S.isnull(T("")), 0),
+        (S.text(NULL), "NULL"), (S.text(F.lit(b"abc"), "binary"), "[3 bytes]"), (S.length(T("a\U0001f600")), 3),
+        (S.iif(F.lit(1), T("a"), T("b")), "a"), (S.iif(F.lit(0.0), T("a"), T("b")), "b"), (S.iif(T(" "), T("a"), T("b")), "b"), (S.iif(NULL, T("a"), T("b")), "b"),
+        (S.year(T("nope")), None), (S.hour(T("nope")), None), (S.year(F.lit(45292)), 2024), (S.day(T("45292.75")), 1), (S.hour(F.lit(45292)), None), (S.minute(T("2024-01-01 10:20:30")), 20), (S.nz(T(""), "d"), "d"), (S.isempty(NULL), 1), (S.isnull(T("")), 0),
         (S.choose(F.lit(2.5), T("a"), T("b"), T("c")), "b"), (S.choose(F.lit(9), T("a")), None),
         (S.left(T("abc"), -1), ""), (S.right(T("abc"), 2), "bc"), (S.right(T("abc"), 9), "abc"),
         (S.mid(T("abcdef"), -3, 2), "ab"), (S.mid(T("abcdef"), 3, -1), ""), (S.trim(T("\t x  ")), "x"),
@@ -24,7 +26,7 @@ def cases():
         (S.datediff("ww", TS("2024-01-08"), TS("2024-01-01")), -1), (S.datepart("w", TS("2024-01-07")), 1), (S.datepart("ww", TS("2024-12-30")), 1),
         (S.dateserial(F.lit(2024), F.lit(14), F.lit(0)), "2025-01-31"), (S.timeserial(F.lit(25), F.lit(0), F.lit(5)), "01:00:05"),
         (S.monthname(F.lit(3)), "March"), (S.monthname(F.lit(13)), None), (S.round_(F.lit(2.5)), 2.0), (S.round_(F.lit(2.5), 16), None),
-        (S.int_(F.lit(-12.55)), -13.0), (S.fix(F.lit(-12.55)), -12.0), (S.sgn(F.lit(-2)), -1), (S.cint(T("3,000.5")), 3000),
+        (S.int_(F.lit(-12.55)), -13.0), (S.fix(F.lit(-12.55)), -12.0), (S.sgn(F.lit(-2)), -1), (S.cint(T("3,000.5")), 3000), (S.clng(T("9007199254740993")), 9007199254740993), (S.cint(T("1e3")), 1000),
         (S.clng(T("9e30")), None), (S.cbool(T("YES")), 1), (S.cbool(T("what")), None), (S.cstr(NULL), ""), (S.cdate(T("2024-02-03 00:00:00")), "2024-02-03"),
         (S.format_(F.lit(1234.5), "#,##0.00"), "1,234.50"), (S.format_(F.lit(1234.5), "0.0##"), "1234.5"),
         (S.xml_value(T("<a><b>x</b></a>"), "/a/b"), "x"), (S.xml_value(T("<a/>"), "/a/b"), None), (S.xml_exists(T("<a/>"), "/a"), 1),

@@ -1,11 +1,14 @@
 """Hygiene, pipelines, sources, collections on the rows of small fixtures."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from skerry.operators import collections as C
 from skerry.operators import hygiene as H
 from skerry.operators import pipeline as P
+from skerry.operators.joins import not_in
 from skerry.sources import files
 from skerry.streaming import incremental
 
@@ -22,7 +25,8 @@ def customers(spark):
 
 def test_duplicates_and_dedup(customers):
     on = [("email", "NOCASE")]
-    assert rows(H.find_duplicates(customers, on, "id")) == [("A@EXAMPLE.COM", 2, 1, "2"), ("[NULL]", 2, 3, "4")]
+    assert rows(H.find_duplicates(customers, on, "id")) == [("['A@EXAMPLE.COM']", 2, 1, "1", "2", "2"), ("[NULL]", 2, 3, "3", "4", "4")]
+    assert rows(H.duplicate_members(customers, on, "id")) == [(1, 1), (2, 1), (3, 3), (4, 3)]
     assert [r["id"] for r in H.dedup(customers, on, "id", "last").orderBy("id").collect()] == [2, 4, 5]
     assert tuple(H.dedup_summary(customers, on, "id", "customers").first()) == ("customers", 2, 2, 3)
 
@@ -30,6 +34,30 @@ def test_duplicates_and_dedup(customers):
 def test_merge(spark):
     df = spark.createDataFrame([(1, "a", "111", None), (2, "a", None, "Seattle"), (3, "a", None, "Seattle")], "id int, email string, phone string, city string")
     assert rows(H.merge_duplicates(df, ["email"], "id")) == [(1, "a", "111", "Seattle")]
+    assert rows(H.merge_summary(df, ["email"], "id", "t")) == [("t", 1, 2, 1, 1, 0, None)]
+    clash = df.unionAll(spark.createDataFrame([(4, "a", None, "Oslo")], df.schema))
+    assert rows(H.merge_summary(clash, ["email"], "id", "t")) == [("t", 1, 3, 1, 0, 1, "city: 1")]
+
+
+def test_keys_are_told_apart(spark):
+    df = spark.createDataFrame([(1, "a|b", "c"), (2, "a|b", "c"), (3, "a", "b|c"), (4, "a", "b|c"), (5, None, "x"), (6, None, "x"), (7, "NULL", "x"), (8, "NULL", "x")], "id int, p string, q string")
+    assert len({r["key_values"] for r in H.find_duplicates(df, ["p", "q"], "id").collect()}) == 4
+
+
+def test_compare_null_keys(spark):
+    a = spark.createDataFrame([(None, 1), (1, 1)], "k int, v int")
+    b = spark.createDataFrame([(1, 2), (2, 1)], "k int, v int")
+    assert rows(H.compare(a, b, "k")) == [(1, "Changed", "v"), (2, "TargetOnly", ""), (None, "SourceOnly", "")]
+    assert rows(H.compare(b, a, "k")) == [(1, "Changed", "v"), (2, "SourceOnly", ""), (None, "TargetOnly", "")]
+    assert rows(H.compare(a, a, "k")) == []
+
+
+def test_not_in(spark):
+    left = spark.createDataFrame([(1,), (2,), (None,)], "x int")
+    right = lambda *v: spark.createDataFrame([(i,) for i in v], "y int")
+    assert rows(not_in(left, "x", right(2), "y")) == [(1,)]
+    assert rows(not_in(left, "x", right(2, None), "y")) == []
+    assert rows(not_in(left, "x", right(), "y")) == [(1,), (2,), (None,)]
 
 
 def test_validate_null_is_a_violation(spark):
@@ -40,7 +68,7 @@ def test_validate_null_is_a_violation(spark):
 def test_orphans(spark):
     books = spark.createDataFrame([(1,)], "id int")
     bookings = spark.createDataFrame([(1, 1), (2, 99), (3, None)], "id int, book_id int")
-    assert rows(H.find_orphans(bookings, "book_id", books, "id", "id", "bookings", "books")) == [("bookings", "book_id", 2, "99", "books", "id")]
+    assert rows(H.find_orphans(bookings, "book_id", books, "id", "id", "bookings", "books")) == [(None, "bookings", "book_id", 2, "99", "books", "id")]
 
 
 def test_statistics(spark):
@@ -87,6 +115,11 @@ def test_full_text(spark):
     docs = spark.createDataFrame([(1, "Alpha", "Quick brown fox jumps"), (2, "Beta", "Runner's high and steady pace"), (3, "Gamma", "Brown bear near river")], "id int, title string, body string")
     found = lambda q: [r["id"] for r in C.search(docs, ["title", "body"], q).orderBy("id").collect()]
     assert found("brown") == [1, 3] and found("brown fox") == [1] and found("RUNNER'S") == [2] and found("") == []
+    index = C.index_terms(docs, "id", ["title", "body"])
+    for q in ("brown", "brown fox", "RUNNER'S", "", "'tis"):
+        assert sorted(r["id"] for r in C.search_index(index, q).collect()) == found(q)
+    odd = spark.createDataFrame([(1, "'tis \uff30\uff59")], "id int, t string")
+    assert C.search(odd, ["t"], "'tis py").count() == 1 and C.search(odd, ["t"], "tis").count() == 0
 
 
 def test_files(spark, tmp_path):
@@ -96,7 +129,26 @@ def test_files(spark, tmp_path):
     files.write_csv(df, f"{tmp_path}/c")
     back = files.read_csv(spark, f"{tmp_path}/c")
     assert dict(back.dtypes) == {"id": "string", "name": "string", "x": "string"}
-    assert files.infer_types(back) == {"id": "bigint", "name": "string", "x": "decimal(18,4)"}
+    assert files.infer_types(back) == {"id": "bigint", "name": "string", "x": "decimal(18,1)"}
+    texts = spark.createDataFrame(
+        [("0.00001", "007", "18446744073709551615", "2024-01-01", "10:20", "2024-01-01 10:20:30", "2024-01-01T10:20:30Z", "123e4567-e89b-12d3-a456-426614174000", "1e3", "")],
+        "a string, b string, c string, d string, e string, f string, g string, h string, i string, j string",
+    )
+    want = {"a": "decimal", "b": "text", "c": "unsigned", "d": "date", "e": "time", "f": "datetime", "g": "datetimeoffset", "h": "guid", "i": "text", "j": "text"}
+    found = files.inferred(texts)
+    assert {c: n for c, (n, _) in found.items()} == want and found["a"][1] == "decimal(18,5)"
+    files.write_json(df, f"{tmp_path}/array")
+    (array,) = (tmp_path / "array").glob("part-*")
+    assert json.loads(array.read_text()) == [{"id": 1, "name": 'a "q"', "x": 1.5}, {"id": 2, "name": None, "x": 2.5}]
+    files.write_table(spark.createDataFrame([("3", "z")], "ID string, name string"), f"{tmp_path}/a/data")
+    assert spark.read.parquet(f"{tmp_path}/a/data").count() == 3
+    with pytest.raises(ValueError):
+        files.write_table(df.withColumn("more", F.lit(1)), f"{tmp_path}/a/data")
+    df.createOrReplaceTempView("paged")
+    assert [[r["id"] for r in p.collect()] for p in files.sql_source(spark, "SELECT * FROM paged", ["id"], 1)] == [[1], [2]]
+    (tmp_path / "k.json").write_text('[{"t": "1", "b": true, "i": 1, "u": 18446744073709551615, "d": 1.5, "m": {"x": 1}, "n": null}, {"t": "x", "i": -2, "d": 3}]')
+    names = {c: n for c, (n, _) in files.infer_json(spark, f"{tmp_path}/k.json").items()}
+    assert names == {"t": "text", "b": "boolean", "i": "int", "u": "uint", "d": "decimal", "m": "json", "n": "text"}
     (tmp_path / "j.json").write_text('[{"a": 1, "b": {"c": [1, 2]}}]')
     assert tuple(files.read_json(spark, f"{tmp_path}/j.json").first()) == (1, '{"c":[1,2]}')
 
