@@ -13,12 +13,12 @@ from skerry.operators import collections as C
 from skerry.operators import hygiene as H
 from skerry.operators import pipeline as P
 from skerry.operators import tables as T
-from skerry.plans import relational
+from skerry.plans import dialect, relational
 from skerry.session import table
 from skerry.streaming import incremental
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(relational.QUERIES)
-ORACLES: dict[str, str] = dict(relational.ORACLES)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = relational.QUERIES | dialect.QUERIES
+ORACLES: dict[str, str] = relational.ORACLES | dialect.ORACLES
 
 
 def register(oracle: str | None = None) -> Callable:
