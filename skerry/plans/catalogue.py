@@ -11,7 +11,9 @@ from skerry.functions import scalar as S
 from skerry.functions import semantics as M
 from skerry.operators import collections as C
 from skerry.operators import hygiene as H
+from skerry.operators import packages
 from skerry.operators import pipeline as P
+from skerry.operators import samples as X
 from skerry.operators import tables as T
 from skerry.plans import dialect, relational
 from skerry.session import table
@@ -529,3 +531,94 @@ def fts_apostrophes(spark: SparkSession, d: str) -> DataFrame:
 def fts_by_index(spark: SparkSession, d: str) -> DataFrame:
     index = C.index_terms(table(spark, d, "documents"), "doc_id", ["text"])
     return C.search_index(index, "From WITH from").select(F.col("id").alias("doc_id"), "score")
+
+
+# --- graphs, places, time series, reports, shards
+def _stored(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
+    """Writes a table to an engine's folder and reads it back."""
+    return dialect.Engine(spark)._stored
+
+
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    """Orders lead from one customer to another."""
+    o = table(spark, d, "orders")
+    return o.select(F.col("o_custkey").alias("src"), F.expr("(o_custkey * 7 + o_orderkey % 2) % 1009").alias("dst")).distinct()
+
+
+_WALK = (
+    "WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS src, (o_custkey * 7 + o_orderkey % 2) % 1009 AS dst FROM orders), "
+    "w(node, depth) AS (SELECT 3::BIGINT, 0 UNION SELECT e.dst, depth + 1 FROM w JOIN e ON e.src = w.node WHERE depth < 4) "
+)
+
+
+@register(_WALK + "SELECT node, min(depth) AS depth FROM w GROUP BY node")
+def graph_reachable(spark: SparkSession, d: str) -> DataFrame:
+    return X.reachable(_edges(spark, d), 3, 4, _stored(spark))
+
+
+@register(_WALK + "SELECT min(depth) AS hops FROM w WHERE node = (SELECT max(node) FROM w)")
+def graph_shortest_path(spark: SparkSession, d: str) -> DataFrame:
+    edges, store = _edges(spark, d), _stored(spark)
+    goal = X.reachable(edges, 3, 4, store).agg(F.max("node")).first()[0]
+    return spark.createDataFrame([(len(X.shortest_path(edges, 3, goal, 4, store)) - 1,)], "hops int")
+
+
+_PLACES = "SELECT event_id, (event_id * 37 % 1700) / 10.0 - 85 AS lat, (event_id * 91 % 3600) / 10.0 - 180 AS lon FROM events"
+
+
+@register(f"SELECT event_id FROM ({_PLACES}) p WHERE 2 * 6371 * asin(sqrt(pow(sin((radians(lat) - radians(47.0)) / 2), 2) + cos(radians(lat)) * cos(radians(47.0)) * pow(sin((radians(lon) - radians(8.0)) / 2), 2))) <= 1500")
+def spatial_radius(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").selectExpr("event_id", "CAST((event_id * 37 % 1700) / 10.0 - 85 AS DOUBLE) AS lat", "CAST((event_id * 91 % 3600) / 10.0 - 180 AS DOUBLE) AS lon")
+    return X.within_radius(e, 47.0, 8.0, 1500.0).select("event_id")
+
+
+@register(f"SELECT event_id FROM ({_PLACES}) p WHERE lat BETWEEN -10 AND 20 AND (lon >= 170 OR lon <= -160)")
+def spatial_box(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").selectExpr("event_id", "CAST((event_id * 37 % 1700) / 10.0 - 85 AS DOUBLE) AS lat", "CAST((event_id * 91 % 3600) / 10.0 - 180 AS DOUBLE) AS lon")
+    return X.within_box(e, -10, 170, 20, -160).select("event_id")
+
+
+@register("SELECT event_type, count(value) AS \"count\", min(value) AS \"min\", max(value) AS \"max\", arg_min(value, ts) AS \"first\", arg_max(value, ts) AS \"last\" FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20' GROUP BY event_type")
+def ts_summary(spark: SparkSession, d: str) -> DataFrame:
+    import datetime
+
+    found = X.summary(table(spark, d, "events"), "ts", "value", datetime.datetime(2024, 1, 5), datetime.datetime(2024, 1, 20), ["event_type"])
+    return found.drop("sum", "avg")
+
+
+@register(
+    "SELECT o_orderstatus, o_orderpriority, CAST(2 - grouping(o_orderstatus) - grouping(o_orderpriority) AS INTEGER) AS level, CAST(sum(o_custkey) AS DOUBLE) AS s, count(o_custkey) AS n, CAST(max(o_custkey) AS DOUBLE) AS m, "
+    "NULL::DOUBLE AS t FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)"
+)
+def report_groups(spark: SparkSession, d: str) -> DataFrame:
+    return X.report_groups(
+        table(spark, d, "orders"), ["o_orderstatus", "o_orderpriority"], {"s": ("SUM", "o_custkey"), "n": ("COUNT", "o_custkey"), "m": ("MAX", "o_custkey"), "t": ("SUM", "o_orderpriority")}
+    )
+
+
+@register("SELECT CASE WHEN c_mktsegment = 'BUILDING' THEN 'north' ELSE 'rest' END AS part, count(*) AS n FROM customer GROUP BY 1")
+def shard_queries(spark: SparkSession, d: str) -> DataFrame:
+    """One shard holds a pinned key; the rows of all others are theirs."""
+    segments = table(spark, d, "customer").select("c_mktsegment")
+    pins = {s: "south" for s in ("AUTOMOBILE", "FURNITURE", "HOUSEHOLD", "MACHINERY")} | {"BUILDING": "north"}
+    found = X.on_all_shards(segments, "c_mktsegment", ["north", "south"], lambda df: df.agg(F.count("*").alias("n")), pins)
+    return found.select(F.when(F.col("shard") == "north", "north").otherwise("rest").alias("part"), "n")
+
+
+@register("SELECT p_partkey AS id, p_name || '!' AS name, 'fixed' AS tag, p_size * 2.0 AS size FROM part WHERE p_size >= 10 AND p_size % 5 <> 0")
+def pipe_package(spark: SparkSession, d: str) -> DataFrame:
+    """A JSON package with bad rows, a user's function and a table as its destination."""
+    from skerry.sql.engine import Engine
+
+    engine = Engine(spark)
+    code = F.when(F.col("p_size") % 5 == 0, F.lit("bad")).otherwise(F.col("p_size").cast("string"))
+    engine.attach("raw", table(spark, d, "part").select("p_partkey", "p_name", code.alias("code")))
+    engine.register("Shout", 1, lambda s: s + "!", null_propagating=True)
+    engine.execute("CREATE TABLE parts (id BIGINT PRIMARY KEY, name TEXT, tag TEXT DEFAULT 'none', size DOUBLE)")
+    package = """{"Name": "parts", "version": "1", "source": {"kind": "Table", "tableName": "raw"}, "destination": {"kind": "table", "tableName": "parts"},
+      "options": {"errorMode": "SkipBadRows"}, "transforms": [{"kind": "cast", "castMappings": [{"column": "code", "targetType": "real"}]},
+      {"kind": "filter", "filterExpression": "code >= 10"}, {"kind": "rename", "renameMappings": [{"source": "p_partkey", "target": "id"}]},
+      {"kind": "derive", "derivedColumns": [{"name": "name", "expression": "Shout(p_name)"}, {"name": "tag", "expression": "'fixed'"}, {"name": "size", "expression": "code"}]},
+      {"kind": "select", "selectColumns": ["id", "name", "tag", "size"]}]}"""
+    packages.Runner(spark, engine, f"{engine.root}/state").run(package)
+    return engine.execute("SELECT id, name, tag, size * 2 AS size FROM parts")

@@ -629,6 +629,43 @@ class Engine:
         self._changed(table)
         return self._done(len(rows))
 
+    def append(self, name: str, df: DataFrame, overwrite: bool = False) -> int:
+        """Add a DataFrame's rows to a table, all or none, each value cast to its column's type.
+
+        Columns that df lacks get their defaults; identities go up from the next one.
+        """
+        table, have = self.find(name), {c.lower(): c for c in df.columns}
+        unknown = sorted(set(have) - {c.name.lower() for c in table.columns})
+        if unknown:
+            raise SqlError(f"{name} has no column {unknown[0]}")
+        kinds = dict(df.dtypes)
+        made = []
+        for c in table.columns:
+            if c.name.lower() in have:
+                own = have[c.name.lower()]
+                made.append(F.expr(cast_sql(name_of(own), kinds[own], c.type)[0]).alias(c.name))
+            else:
+                made.append(F.expr(self._default_sql(c)).alias(c.name))
+        rows = df.select(*made)
+        next_id = 1 if overwrite else table.next_id
+        if table.identity and table.identity.lower() in have:
+            rows = rows.select(F.col(name_of(table.identity)).cast("bigint").alias(ROW), "*")
+        else:
+            numbered = self._stored(rows.withColumn(ROW, F.monotonically_increasing_id()))
+            # gaps between partitions are harmless: an identity only has to grow
+            rows = numbered.withColumn(ROW, F.col(ROW) + next_id)
+            if table.identity:
+                rows = rows.withColumn(table.identity, F.col(ROW).cast(spark_type(table.column(table.identity).type)))
+        rows = self._stored(rows.select(ROW, *(name_of(c.name) for c in table.columns)))
+        n, top = rows.agg(F.count("*"), F.max(ROW)).first()
+        if n:
+            self._check(table, rows, None if overwrite else self.plain(table), rows if overwrite else None)
+        path = self._write(table, rows)
+        table.paths = [path] if overwrite else [*table.paths, path]
+        table.next_id = max(next_id, (top or 0) + 1)
+        self._changed(table)
+        return n
+
     def _update(self, s: Node, params: dict[str, object]) -> DataFrame:
         table = self.find(s.table)
         sets = {table.column(n).name: e for n, e in s.sets}

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from skerry.operators import collections as C
 from skerry.operators import hygiene as H
+from skerry.operators import packages
 from skerry.operators import pipeline as P
 from skerry.operators.joins import not_in
 from skerry.sources import files
+from skerry.sql.engine import Engine
 from skerry.streaming import incremental
 
 
@@ -160,3 +162,43 @@ def test_incremental(spark, tmp_path):
     spark.range(5, 7).write.mode("append").parquet(f"{tmp_path}/in")
     incremental.load_new_files(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/cp", lambda d: d.filter(F.col("id") > 1))
     assert sorted(r["id"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [2, 3, 4, 5, 6]
+
+
+PACKAGE = {
+    "name": "p", "version": "1", "source": {"kind": "csvFile", "path": ""}, "destination": {"kind": "table", "tableName": "goods"},
+    "options": {"errorMode": "skipBadRows", "batchSize": 2}, "hooks": [{"event": "onRunSucceeded", "commandName": "note", "arguments": {"k": 1}}],
+    "transforms": [{"kind": "cast", "castMappings": [{"column": "id", "targetType": "integer"}]}, {"kind": "deduplicate", "deduplicateKeys": ["id"]}],
+}
+
+
+def test_packages(spark, tmp_path):
+    (tmp_path / "in.csv").write_text("id,name\n1,a\nx,b\n2,c\n1,d\n")
+    package = PACKAGE | {"source": {"kind": "csvFile", "path": str(tmp_path / "in.csv")}}
+    db, noted = Engine(spark), []
+    db.execute("CREATE TABLE goods (id INTEGER PRIMARY KEY, name TEXT)")
+    runner = packages.Runner(spark, db, f"{tmp_path}/state", {"Note": lambda event, out, args: noted.append((event, out.rows_written, args))})
+    assert runner.run(package, "validate").rows_read == 0
+    dry = runner.run(package, "dryRun")
+    assert (dry.rows_read, dry.rows_rejected, dry.batches_completed, rows(dry.preview)) == (4, 1, 2, [(1, "a"), (2, "c")])
+    assert db.execute("SELECT COUNT(*) FROM goods").first()[0] == 0
+    done = runner.run(packages.dump(package))
+    assert rows(db.execute("SELECT * FROM goods")) == [(1, "a"), (2, "c")] and done.rejects.first()["row"] == '{"id":"x","name":"b"}'
+    assert noted[-1] == ("onRunSucceeded", 2, {"k": 1})
+    assert runner.run(package, "resume", done.run_id).rows_written == 0 and db.execute("SELECT COUNT(*) FROM goods").first()[0] == 2
+    with pytest.raises(ValueError):  # the keys are there already, and nothing of it is written
+        runner.run(package)
+    with pytest.raises(ValueError, match="row 2 of batch 1"):
+        runner.run(package | {"options": {"errorMode": "failFast", "batchSize": 3}})
+    with pytest.raises(ValueError, match="unknown command"):
+        runner.run(package | {"destination": {"kind": "jsonFile", "path": f"{tmp_path}/out"}, "hooks": [{"event": "onRunStarted", "commandName": "no"}]})
+    assert rows(runner.log().select("mode", "status")).count(("run", "failed")) == 3
+
+
+def test_package_faults():
+    bad = {"source": {"kind": "csvFile"}, "destination": {"kind": "table"}, "transforms": [{"kind": "select"}, {"kind": "no"}, {"kind": "derive", "derivedColumns": [{"name": "a", "expression": "F(1, (2))"}]}], "incremental": {}}
+    codes = [c for c, _ in packages.validate(bad, {("F", 1): None})]
+    assert codes == [f"pipeline.{c}" for c in (
+        "name.required", "version.required", "source.path.required", "destination.table.required", "incremental.watermark.required",
+        "transform.select.columns.required", "transform.kind.unsupported", "expression.function.unknown",
+    )]
+    assert packages.validate(packages.load(packages.dump(PACKAGE | {"source": {"kind": "SqlQuery", "QueryText": "SELECT 1"}}))) == []
