@@ -381,7 +381,7 @@ def repeated_passages(
     # of equal texts, which are one node, that of the least id is read
     named = survivors.join(kinds.select("node", F.col("o.id").alias("least_id")), "node").withColumnRenamed("node", "s_node")
     mine = (rows["node"] == F.col("s_node")) & rows["id"].eqNullSafe(F.col("least_id"))
-    texts = rows.join(small(materialise(named)), mine).select("id", "node", "text", "ats")
+    texts = rows.join(materialise(named), mine).select("id", "node", "text", "ats")
     contexts = materialise(_contexts(texts, least, window, gram))
     found = materialise(_matched(contexts, least))
     discard(survivors, contexts)
