@@ -14,10 +14,10 @@ with the bin at its edge in proportion, is summed into the next means and
 covariances. No group is gathered in one task.
 
 Estimates of few documents are unstable, so each is averaged with that of its
-language, and this with that of all documents, the wider one counting as
-`prior` documents (a regularisation after Boudt, Rousseeuw, Vanduffel and
-Verdonck, 2020). There is no size at which the rule changes: the prior's part
-falls as the group grows.
+language, and this with that of all documents (a regularisation after Boudt,
+Rousseeuw, Vanduffel and Verdonck, 2020). Of n documents the wider estimate's part
+is the square of prior / (n + prior): no size changes the rule, and the part soon
+vanishes as a group grows.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ FEATURES = ("word_length", "symbols", "upper", "marks", "dup_lines", "repeats")
 #: Least standard deviation of each feature: smaller spreads are no evidence.
 FLOOR = (0.05, 0.05, 0.05, 0.05, 0.08, 0.08)
 STARTS = 3
-#: Documents that the wider group's estimate counts for.
+#: Documents at which the wider group's estimate makes up a quarter.
 PRIOR = 30.0
 #: A fall of the logarithm of a determinant that is none, and steps that are always enough.
 SETTLED, STEPS = 1e-3, 60
@@ -306,7 +306,7 @@ def _averaged(estimates: DataFrame, prior: float) -> DataFrame:
     def make(r: tuple) -> tuple:
         center, cov = np.array(r.center0), _full(r.cov0)
         for mean, own, n in ((r.center1, r.cov1, r.n1), (r.center2, r.cov2, r.n2)):
-            part = n / (n + prior)
+            part = 1 - (prior / (n + prior)) ** 2
             center, cov = part * np.array(mean) + (1 - part) * center, part * _full(own) + (1 - part) * cov
         return _shape(center, cov, r.n2)
 
@@ -330,7 +330,7 @@ def judge(
     squared Mahalanobis distance from the estimate of the row's language and
     source exceeds the chi-square value at z normal deviations. The estimates
     are those of the nearest `kept` part of the rows that pass the base rules,
-    averaged with the wider groups' as `prior` documents. key is a hash of the
+    averaged with the wider groups'. key is a hash of the
     text, which tells rows of one id apart.
 
     Null texts have no words and fail. Null languages and sources are groups of
