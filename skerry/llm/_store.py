@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -115,4 +116,8 @@ def numbered(df: DataFrame, name: str, by: list[str] | None = None, weight: str
             yield pdf
 
     local = marked.mapInPandas(number, schema)
-    return local.join(small(starts), [part, *by]).withColumn(name, F.col(name) + F.col(start)).select(*df.columns, name)
+    keys = [part, *by]
+    others = [free_name([*local.columns, start], f"start_{i}") for i in range(len(keys))]
+    starts = small(starts.select(*(F.col(k).alias(o) for k, o in zip(keys, others, strict=True)), start))
+    same = reduce(lambda a, b: a & b, (local[k].eqNullSafe(starts[o]) for k, o in zip(keys, others, strict=True)))
+    return local.join(starts, same).withColumn(name, F.col(name) + F.col(start)).select(*df.columns, name)
