@@ -6,6 +6,11 @@ Unless said otherwise a NULL argument gives NULL.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+from xml.etree import ElementTree
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -315,32 +320,75 @@ def cdate(x: Column) -> Column:
 
 
 def format_(x: Column, mask: str) -> Column:
-    """Number masks of 0, #, comma and point."""
-    import re
-
-    if not re.fullmatch(r"[#0,]*(\.[0#]+)?", mask):
+    """Number masks of 0, #, comma, point and a percent sign, or N, F, P and D with a number of digits."""
+    standard = re.fullmatch(r"([NnFfPpDd])(\d{0,2})", mask)
+    if standard:
+        kind, digits = standard[1].upper(), int(standard[2] or (0 if standard[1] in "Dd" else 2))
+        if kind == "D":
+            whole = F.abs(x.cast("decimal(38,0)")).cast("string")
+            padded = F.when(F.length(whole) < digits, F.lpad(whole, max(digits, 1), "0")).otherwise(whole)
+            return F.concat(F.when(x < 0, "-").otherwise(""), padded)
+        out = F.format_number(F.bround(x * 100 if kind == "P" else x, digits), digits)
+        out = F.replace(out, F.lit(","), F.lit("")) if kind == "F" else out
+        return F.concat(out, F.lit(" %")) if kind == "P" else out
+    if not re.fullmatch(r"[#0,]*(\.[0#]+)?%?", mask):
         raise ValueError(f"unsupported mask {mask}")
-    whole, _, part = mask.partition(".")
+    percent = mask.endswith("%")
+    whole, _, part = mask.removesuffix("%").partition(".")
+    x = x * 100 if percent else x
     out = F.format_number(F.bround(x, len(part)), len(part))
     out = out if "," in whole else F.replace(out, F.lit(","), F.lit(""))
     if "#" in part:
         out = F.regexp_replace(out, r"(\.\d{%d}\d*?)0+\z" % part.count("0"), "$1")
         out = F.regexp_replace(out, r"\.\z", "")
-    return out
+    return F.concat(out, F.lit("%")) if percent else out
 
 
 # --- XML
-def xml_exists(x: Column, path: str) -> Column:
+def xml_exists(x: Column, path: str, names: dict[str, str] | None = None) -> Column:
+    """names: prefixes of the path and the namespaces that they stand for."""
+    if names:
+        return (F.size(xml_nodes(path, names)(x)) > 0).cast("int")
     return F.xpath_boolean(x, F.lit(path)).cast("int")
 
 
-def xml_value(x: Column, path: str) -> Column:
+def xml_value(x: Column, path: str, names: dict[str, str] | None = None) -> Column:
     """The text of the one node found; NULL for none, an error for several."""
-    nodes = F.size(F.xpath(x, F.lit(path if path.endswith("text()") or "/@" in path else path + "/text()")))
     several = F.raise_error(F.lit("XML_VALUE found several nodes")).cast("string")
+    if names:
+        found = xml_nodes(path, names)(x)
+        return F.when(F.size(found) > 1, several).when(F.size(found) == 1, F.get(found, F.lit(0)))
+    nodes = F.size(F.xpath(x, F.lit(path if path.endswith("text()") or "/@" in path else path + "/text()")))
     return F.when(nodes > 1, several).when(nodes == 1, F.xpath_string(x, F.lit(path)))
 
 
+def xml_nodes(path: str, names: dict[str, str]) -> Callable[[Column], Column]:
+    """A function of the texts at a path with namespaces, which Spark's own XPath doesn't know.
+
+    Paths of child and descendant steps, and of an attribute or text() at the end.
+    """
+
+    def texts(document: str) -> list[str]:
+        top = ElementTree.Element("top")
+        top.append(ElementTree.fromstring(document))
+        steps, attribute = path.removesuffix("/text()"), None
+        if "/@" in steps:
+            steps, attribute = steps.rsplit("/@", 1)
+            prefix, _, local = attribute.rpartition(":")
+            attribute = f"{{{names[prefix]}}}{local}" if prefix else local
+        found = top.findall("." + steps if steps.startswith("/") else "./" + steps, names)
+        if attribute:
+            return [e.get(attribute) for e in found if e.get(attribute) is not None]
+        return ["".join(e.itertext()) for e in found]
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for documents in batches:
+            yield documents.map(lambda d: None if d is None else texts(d))
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, "array<string>")
+
+
 FUNCTIONS = {
     "TEXT": text, "NZ": nz, "ISNULL": isnull, "ISEMPTY": isempty, "IIF": iif, "SWITCH": switch, "CHOOSE": choose,
     "COALESCE": F.coalesce, "IFNULL": ifnull, "NULLIF": F.nullif, "LEN": length, "LENGTH": length, "LEFT": left,

@@ -17,6 +17,8 @@ from skerry.operators import samples as X
 from skerry.operators import tables as T
 from skerry.plans import dialect, relational
 from skerry.session import table
+from skerry.sources import files
+from skerry.sql.engine import Engine
 from skerry.streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = relational.QUERIES | dialect.QUERIES
@@ -536,7 +538,7 @@ def fts_by_index(spark: SparkSession, d: str) -> DataFrame:
 # --- graphs, places, time series, reports, shards
 def _stored(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
     """Writes a table to an engine's folder and reads it back."""
-    return dialect.Engine(spark)._stored
+    return Engine(spark)._stored
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
@@ -608,8 +610,6 @@ def shard_queries(spark: SparkSession, d: str) -> DataFrame:
 @register("SELECT p_partkey AS id, p_name || '!' AS name, 'fixed' AS tag, p_size * 2.0 AS size FROM part WHERE p_size >= 10 AND p_size % 5 <> 0")
 def pipe_package(spark: SparkSession, d: str) -> DataFrame:
     """A JSON package with bad rows, a user's function and a table as its destination."""
-    from skerry.sql.engine import Engine
-
     engine = Engine(spark)
     code = F.when(F.col("p_size") % 5 == 0, F.lit("bad")).otherwise(F.col("p_size").cast("string"))
     engine.attach("raw", table(spark, d, "part").select("p_partkey", "p_name", code.alias("code")))
@@ -622,3 +622,108 @@ def pipe_package(spark: SparkSession, d: str) -> DataFrame:
       {"kind": "select", "selectColumns": ["id", "name", "tag", "size"]}]}"""
     packages.Runner(spark, engine, f"{engine.root}/state").run(package)
     return engine.execute("SELECT id, name, tag, size * 2 AS size FROM parts")
+
+
+# --- sources and sinks
+_NATION = "SELECT n_nationkey, n_name, n_regionkey FROM nation"
+
+
+@register(_NATION)
+def io_csv(spark: SparkSession, d: str) -> DataFrame:
+    """Written, read as text, typed by what its values look like."""
+    path = f"{Engine(spark).root}/csv"
+    files.write_csv(table(spark, d, "nation"), path)
+    back = files.read_csv(spark, path)
+    kinds = files.infer_types(back)
+    return back.select(*(F.col(c).cast("int" if k == "bigint" else k).alias(c) for c, k in kinds.items()))
+
+
+@register("SELECT CAST(n_nationkey AS VARCHAR) AS column1, n_name AS column2, CAST(n_regionkey AS VARCHAR) AS column3 FROM nation")
+def io_csv_without_header(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{Engine(spark).root}/csv"
+    table(spark, d, "nation").write.csv(path)
+    return files.read_csv(spark, path, header=False)
+
+
+@register("SELECT n_nationkey AS k, '{\"name\":\"' || n_name || '\",\"region\":' || n_regionkey || '}' AS o FROM nation")
+def io_json(spark: SparkSession, d: str) -> DataFrame:
+    """An array of objects; what is nested comes back as JSON text."""
+    path = f"{Engine(spark).root}/json"
+    files.write_json(table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.struct(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")).alias("o")), path)
+    return files.read_json(spark, path).select("k", "o")
+
+
+@register("SELECT n_name, count(*) AS n FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name")
+def io_external_table(spark: SparkSession, d: str) -> DataFrame:
+    """A table archive under an external table's name."""
+    engine = Engine(spark)
+    files.write_archive(table(spark, d, "nation"), f"{engine.root}/archive")
+    engine.attach("customer", table(spark, d, "customer"))
+    return engine.script(f"CREATE EXTERNAL TABLE far FROM '{engine.root}/archive'; SELECT n_name, COUNT(*) AS n FROM far JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name")
+
+
+@register("SELECT o_orderkey AS id, CAST(o_totalprice AS DECIMAL(18,2)) AS price, 'new' AS state FROM orders")
+def io_table_sink(spark: SparkSession, d: str) -> DataFrame:
+    engine = Engine(spark)
+    engine.execute("CREATE TABLE bought (id BIGINT PRIMARY KEY, price DECIMAL(18,2), state TEXT DEFAULT 'new')")
+    engine.append("bought", table(spark, d, "orders").select(F.col("o_orderkey").alias("ID"), F.col("o_totalprice").alias("price")))
+    return engine.execute("SELECT * FROM bought")
+
+
+@register("SELECT p_partkey, p_size FROM part WHERE p_size > 40")
+def io_sql_pages(spark: SparkSession, d: str) -> DataFrame:
+    table(spark, d, "part").createOrReplaceTempView("part")
+    store, pages = _stored(spark), list(files.sql_source(spark, "SELECT p_partkey, p_size FROM part WHERE p_size > 40", ["p_partkey"], 4000))
+    return H.union_all([store(p) for p in pages])
+
+
+@register(
+    "SELECT * FROM (VALUES ('flag', 'boolean', 'boolean'), ('whole', 'signed', 'bigint'), ('huge', 'unsigned', 'decimal(20,0)'), ('money', 'decimal', 'decimal(18,2)'), ('tiny', 'decimal', 'decimal(18,6)'), "
+    "('code', 'text', 'string'), ('day', 'date', 'date'), ('clock', 'time', 'string'), ('at', 'datetime', 'timestamp_ntz'), ('zoned', 'datetimeoffset', 'timestamp'), ('uuid', 'guid', 'string'), ('none', 'text', 'string')) t(name, kind, type)"
+)
+def io_csv_inference(spark: SparkSession, d: str) -> DataFrame:
+    k, t = F.col("o_orderkey"), F.col("o_orderdate")
+    texts = table(spark, d, "orders").select(
+        F.when(k % 2 == 0, "True").otherwise("false").alias("flag"), k.cast("string").alias("whole"), F.lit("18446744073709551615").alias("huge"), F.format_string("%d.%02d", k, (k % 100).cast("int")).alias("money"),
+        F.lit("0.000001").alias("tiny"), F.lpad(k.cast("string"), 9, "0").alias("code"), F.date_format(t, "yyyy-MM-dd").alias("day"), F.date_format(t, "HH:mm").alias("clock"), F.date_format(t, "yyyy-MM-dd HH:mm:ss").alias("at"),
+        F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("zoned"), F.concat(F.lit("123e4567-e89b-12d3-a456-"), F.lpad(k.cast("string"), 12, "0")).alias("uuid"), F.when(k % 2 == 0, " ").alias("none"),
+    )
+    rows = [(c, name, kind) for c, (name, kind) in files.inferred(texts).items()]
+    return spark.createDataFrame(rows, "name string, kind string, type string")
+
+
+# --- collections of documents
+@register("SELECT event_id AS key, CASE WHEN event_id % 10 = 1 THEN 'new' ELSE event_type END AS doc FROM events WHERE event_id % 10 <> 2")
+def coll_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Some documents are put in place of others, some are deleted."""
+    docs = table(spark, d, "events").select(F.col("event_id").alias("key"), F.col("event_type").alias("doc"))
+    changed = C.put(docs, docs.filter("key % 10 = 1").withColumn("doc", F.lit("new")))
+    return C.delete(changed, docs.filter("key % 10 = 2"))
+
+
+@register("SELECT event_id AS key FROM events WHERE event_type LIKE 'p%' OR event_id = 7")
+def coll_get_find(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "events").select(F.col("event_id").alias("key"), F.col("event_type").alias("doc"))
+    return C.get(docs, 7).select("key").union(C.find(docs, F.col("doc").startswith("p")).select("key")).distinct()
+
+
+@register("SELECT c_custkey FROM customer WHERE upper(c_mktsegment) = 'BUILDING'")
+def coll_path_collation(spark: SparkSession, d: str) -> DataFrame:
+    segment = F.when(F.col("c_custkey") % 2 == 0, F.lower("c_mktsegment")).otherwise(F.col("c_mktsegment"))
+    docs = table(spark, d, "customer").select("c_custkey", F.to_json(F.struct(F.struct(segment.alias("name")).alias("segment"))).alias("doc"))
+    return C.find_by_path(docs, "$.segment.name", "Building", collation="NOCASE").select("c_custkey")
+
+
+@register("SELECT o_orderkey, format('{:,.2f}', o_totalprice) AS n, CAST(o_orderkey * 100 AS VARCHAR) || '.0 %' AS p, lpad(CAST(o_orderkey AS VARCHAR), CAST(greatest(8, length(CAST(o_orderkey AS VARCHAR))) AS INTEGER), '0') AS d FROM orders")
+def fn_format_standard(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    return table(spark, d, "orders").select("o_orderkey", S.format_(F.col("o_totalprice"), "N2").alias("n"), F.replace(S.format_(k.cast("double"), "P1"), F.lit(","), F.lit("")).alias("p"), S.format_(k, "D8").alias("d"))
+
+
+@register("SELECT p_partkey, 1 AS found, p_name AS name, CAST(p_size AS VARCHAR) AS size FROM part")
+def fn_xml_namespaces(spark: SparkSession, d: str) -> DataFrame:
+    x = F.format_string('<a xmlns:x="urn:1" xmlns="urn:2"><x:b size="%d">%s</x:b><b>no</b></a>', F.col("p_size"), F.replace(F.col("p_name"), F.lit("&"), F.lit("&amp;")))
+    names = {"q": "urn:1", "d": "urn:2"}
+    return table(spark, d, "part").select(
+        "p_partkey", S.xml_exists(x, "/d:a/q:b", names).alias("found"), S.xml_value(x, "/d:a/q:b", names).alias("name"), S.xml_value(x, "//q:b/@size", names).alias("size")
+    )

@@ -115,6 +115,16 @@ SELECTS: dict[str, tuple[str, dict, str]] = {
         {},
         "SELECT c_mktsegment AS k, count(*) AS n FROM customer GROUP BY 1",
     ),
+    "sql_collated_distinct": (
+        "SELECT COUNT(*) AS n, COUNT(DISTINCT k) AS d, UPPER(MIN(k)) AS lo, UPPER(MAX(k)) AS hi FROM (SELECT DISTINCT IIF(c_custkey - c_custkey / 2 * 2, LOWER(c_mktsegment), c_mktsegment) COLLATE NOCASE AS k FROM customer) s",
+        {},
+        "SELECT count(DISTINCT c_mktsegment) AS n, count(DISTINCT c_mktsegment) AS d, min(c_mktsegment) AS lo, max(c_mktsegment) AS hi FROM customer",
+    ),
+    "sql_xml": (
+        "SELECT p_partkey, XML_VALUE(x, '/r:a/r:b', @names) AS v, XML_EXISTS(x, '/r:a/r:c', '{\"r\": \"urn:1\"}') AS e FROM (SELECT p_partkey, REPLACE('<a xmlns=\"urn:1\"><b>#</b></a>', '#', TEXT(p_size)) AS x FROM part) t",
+        {"names": '{"r": "urn:1"}'},
+        "SELECT p_partkey, CAST(p_size AS VARCHAR) AS v, 0 AS e FROM part",
+    ),
     "sql_like_escape": ("SELECT p_partkey FROM part WHERE p_brand LIKE '%!#1_' ESCAPE '!' OR p_name NOT LIKE '%A%'", {}, "SELECT p_partkey FROM part WHERE p_brand ILIKE '%#1_' OR NOT p_name ILIKE '%a%'"),
     "sql_three_valued": (
         "SELECT o_orderkey FROM orders WHERE NOT (o_custkey BETWEEN 10 AND NULLIF(o_custkey, 20)) OR o_orderkey NOT IN (1, NULL, 3)",

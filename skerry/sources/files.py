@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import sqlite3
 from collections.abc import Iterator
+from contextlib import closing
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -66,6 +68,55 @@ def write_table(df: DataFrame, path: str, like: DataFrame | None = None) -> None
     df.select(*columns).write.mode("append").parquet(path)
 
 
+def read_jdbc(spark: SparkSession, url: str, name: str, key: str | None = None, low: int = 0, high: int = 0, parts: int = 1, **options: str) -> DataFrame:
+    """A table of another database by JDBC, in `parts` ranges of a whole-number key; its driver must be on the class path."""
+    reader = spark.read.format("jdbc").options(url=url, dbtable=name, **options)
+    if key and parts > 1:
+        reader = reader.options(partitionColumn=key, lowerBound=low, upperBound=high, numPartitions=parts)
+    return reader.load()
+
+
+_SQLITE = {"INT": "bigint", "REAL": "double", "FLOA": "double", "DOUB": "double", "BLOB": "binary"}
+
+
+def sqlite_tables(path: str) -> list[str]:
+    with closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True)) as db:
+        return [r[0] for r in db.execute("SELECT name FROM sqlite_master WHERE type = 'table' AND name NOT LIKE 'sqlite_%' ORDER BY name")]
+
+
+def read_sqlite(spark: SparkSession, path: str, name: str, parts: int = 8) -> DataFrame:
+    """A table of an SQLite file that all executors can open, read in `parts` ranges of its row ids.
+
+    Types follow the declared ones; a value that isn't of its column's type is NULL
+    in a number column and text in a text column.
+    """
+    quoted = '"' + name.replace('"', '""') + '"'
+    with closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True)) as db:
+        columns = db.execute(f"PRAGMA table_info({quoted})").fetchall()
+        low, high = db.execute(f"SELECT coalesce(min(rowid), 0), coalesce(max(rowid), 0) FROM {quoted}").fetchone()
+    if not columns:
+        raise ValueError(f"{path} has no table {name}")
+    kinds = [next((v for k, v in _SQLITE.items() if k in (c[2] or "").upper()), "string") for c in columns]
+    fits = {"bigint": int, "double": (int, float), "binary": bytes}
+
+    def value(x: object, kind: str) -> object:
+        if x is None or kind == "string":
+            return x if x is None or isinstance(x, str) else str(x)
+        return (float(x) if kind == "double" else x) if isinstance(x, fits[kind]) else None
+
+    step = max(1, -(-(high - low + 1) // parts))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True)) as db:
+            for part in (i for pdf in batches for i in pdf["id"]):
+                rows = db.execute(f"SELECT * FROM {quoted} WHERE rowid BETWEEN ? AND ?", (low + int(part) * step, low + (int(part) + 1) * step - 1))
+                while found := rows.fetchmany(10_000):
+                    yield pd.DataFrame({c[1]: pd.Series([value(r[i], k) for r in found], dtype=object) for i, (c, k) in enumerate(zip(columns, kinds, strict=True))})
+
+    schema = ", ".join(f"`{c[1]}` {k}" for c, k in zip(columns, kinds, strict=True))
+    return spark.range(0, parts, 1, parts).mapInPandas(run, schema)
+
+
 def sql_source(spark: SparkSession, text: str, order: list[str] | None = None, size: int | None = None) -> Iterator[DataFrame]:
     """A query's result, whole or in pages of `size` rows in the order of `order`, which must be unique.
 
@@ -77,7 +128,8 @@ def sql_source(spark: SparkSession, text: str, order: list[str] | None = None, s
         return
     last = None
     while True:
-        page = rows if last is None else rows.filter(F.struct(*order) > F.struct(*(F.lit(v) for v in last)))
+        after = lambda: F.struct(*(F.lit(v).cast(rows.schema[c].dataType).alias(c) for c, v in zip(order, last, strict=True)))
+        page = rows if last is None else rows.filter(F.struct(*order) > after())
         page = page.orderBy(*order).limit(size)
         keys = page.select(*order).orderBy(*(F.desc(c) for c in order)).first()
         if keys is None:

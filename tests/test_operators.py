@@ -1,6 +1,7 @@
 """Hygiene, pipelines, sources, collections on the rows of small fixtures."""
 
 import json
+import sqlite3
 
 import pytest
 from pyspark.sql import functions as F
@@ -202,3 +203,15 @@ def test_package_faults():
         "transform.select.columns.required", "transform.kind.unsupported", "expression.function.unknown",
     )]
     assert packages.validate(packages.load(packages.dump(PACKAGE | {"source": {"kind": "SqlQuery", "QueryText": "SELECT 1"}}))) == []
+
+
+def test_sqlite(spark, tmp_path):
+    with sqlite3.connect(tmp_path / "x.db") as db:
+        db.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, name TEXT, x DOUBLE, b BLOB, any_)")
+        db.executemany("INSERT INTO t VALUES (?, ?, ?, ?, ?)", [(i, f"n{i}", i / 2 if i % 3 else "odd", b"z", i) for i in range(5, 200)])
+    db.close()
+    assert files.sqlite_tables(str(tmp_path / "x.db")) == ["t"]
+    out = files.read_sqlite(spark, str(tmp_path / "x.db"), "t", 4)
+    assert dict(out.dtypes) == {"id": "bigint", "name": "string", "x": "double", "b": "binary", "any_": "string"}
+    got = {r["id"]: r for r in out.collect()}
+    assert sorted(got) == list(range(5, 200)) and got[7]["x"] == 3.5 and got[6]["x"] is None and got[8]["any_"] == "8" and got[9]["b"] == b"z"
