@@ -75,7 +75,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     other_id, other_key = free_name(names, "line_id"), free_name(names, "line_other_key")
     removals = _covered(windows, window).select(F.col("id").alias(other_id), F.col("key").alias(other_key), F.col("gone").alias(gone))
     same = keyed[id_col].eqNullSafe(F.col(other_id)) & (F.col(key) == F.col(other_key))
-    joined = keyed.join(small(materialise(removals)), same, "left")
+    joined = keyed.join(removals, same, "left")
     lines, full = free_name(names, "lines_all"), free_name(names, "lines_full")
     joined = joined.withColumn(lines, _split(text))
     joined = joined.withColumn(full, F.when(F.col(gone).isNotNull(), F.filter(F.transform(lines, lambda x, i: F.when(F.btrim(x, F.lit(_SPACE)) != "", i)), lambda i: i.isNotNull())))
