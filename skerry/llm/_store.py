@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 #: Rows that a side of a join may have to be broadcast (a few MB at most).
 BROADCAST_ROWS = 50_000
+#: Items that its arrays may hold (16 MB at most).
+ARRAY_ITEMS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -62,13 +64,16 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+def small(df: DataFrame, limit: int = BROADCAST_ROWS, arrays: tuple[str, ...] = ()) -> DataFrame:
     """`df` marked for broadcast if it has at most `limit` rows, else as it is.
 
-    Past the bound the join shuffles, and adaptive execution splits its skewed
+    `arrays` names its array columns, which may hold ARRAY_ITEMS items in all.
+    Past the bounds the join shuffles, and adaptive execution splits its skewed
     partitions, so the result is the same either way.
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    items = [F.coalesce(F.sum(F.size(F.col(c)).cast("long")), F.lit(0)) for c in arrays]
+    found = df.limit(limit + 1).agg(F.count("*"), *items).first()
+    return F.broadcast(df) if found[0] <= limit and sum(found[1:]) <= ARRAY_ITEMS else df
 
 
 def free_name(columns: list[str], wanted: str) -> str:

@@ -79,7 +79,7 @@ def _long_hits(docs: DataFrame, prints: DataFrame, windows: DataFrame) -> DataFr
     suspects = materialise(found.groupBy("id", "key").agg(F.collect_set("print").alias("prints")))
     other = suspects.select(F.col("id").alias("s_id"), F.col("key").alias("s_key"), "prints")
     same = F.col("id").eqNullSafe(F.col("s_id")) & (F.col("key") == F.col("s_key"))
-    again = _hashed(docs.join(small(other), same), ["id", "key", "prints"])
+    again = _hashed(docs.join(small(other, arrays=("prints",)), same), ["id", "key", "prints"])
     at = F.sequence(F.lit(0), F.size("grams") - SPAN)
     extended = F.filter(at, lambda i: F.array_contains(F.col("prints"), F.least(*_near("grams", i, SPAN))))
     pairs = F.transform(extended, lambda i: F.struct(i.alias("at"), _window(i).alias("window")))
