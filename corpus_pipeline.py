@@ -19,6 +19,9 @@ from skerry.llm.minhash import near_duplicates
 from skerry.llm.packing import pack
 from skerry.llm.quality import judge
 
+#: Rows of an id and a hash that may be broadcast (some 10 MB).
+LISTED = 200_000
+
 
 def _same(docs: DataFrame, listed: DataFrame, doc_id: str, key: str) -> Column:
     return docs["doc_id"].eqNullSafe(listed[doc_id]) & (F.xxhash64(docs["text"]) == listed[key])
@@ -27,7 +30,8 @@ def _same(docs: DataFrame, listed: DataFrame, doc_id: str, key: str) -> Column:
 def _listed(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, Column]:
     """The distinct (doc_id, key) of `rows` under free names, and what joins them to docs."""
     key, other = free_name(docs.columns, "listed_key"), free_name(docs.columns, "listed_id")
-    listed = small(materialise(rows.select(F.col("doc_id").alias(other), F.col("key").alias(key)).distinct()))
+    listed = materialise(rows.select(F.col("doc_id").alias(other), F.col("key").alias(key)).distinct())
+    listed = small(listed, LISTED)
     return listed, _same(docs, listed, other, key)
 
 
