@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TYPES = {"integer": "bigint", "real": "double", "text": "string", "blob": "binary", "decimal": "decimal(18,2)"}
-_OPERATORS = ("==", "!=", ">=", "<=", ">", "<")
+_OPERATORS = tuple("== != >= <= > <".split())
 
 
 @dataclass

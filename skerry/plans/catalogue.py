@@ -279,9 +279,11 @@ def fn_len_units(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", S.length(F.concat("p_name", F.lit("\U0001f600"))).alias("n"))
 
 
-@register()
+@register("SELECT true AS same_day, true AS same_time, true AS this_century")
 def fn_now(spark: SparkSession, d: str) -> DataFrame:
-    return spark.range(1).select(S.date_today().alias("d"), S.time_today().alias("t"), S.now_text().alias("n"))
+    """DATE, TIME and NOW are of one moment in a statement."""
+    day, clock, now = S.date_today(), S.time_today(), S.now_text()
+    return spark.range(1).select((F.left(now, F.lit(10)) == day).alias("same_day"), (F.right(now, F.lit(8)) == clock).alias("same_time"), now.rlike(r"^20\d\d-\d\d-\d\d \d\d:\d\d:\d\d$").alias("this_century"))
 
 
 # --- data hygiene

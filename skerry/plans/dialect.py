@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skerry.session import table
 from skerry.sql.engine import Engine
@@ -167,15 +168,20 @@ SCRIPTS: dict[str, tuple[str, str]] = {
         "SELECT * FROM (VALUES ('regions', 'TABLE', NULL), ('states', 'TABLE', NULL), ('by_name', 'INDEX', 'states'), ('v', 'VIEW', NULL), ('fk_states_1', 'FOREIGN KEY', 'states'), ('pk_regions_1', 'PRIMARY KEY', 'regions'), ('uq_regions_1', 'UNIQUE', 'regions'), ('pk_states_1', 'PRIMARY KEY', 'states'), ('ck_states_1', 'CHECK', 'states')) t(object_name, object_type, parent_table_name)",
     ),
     "sql_columns": (
-        _NATIONS.format("CASCADE") + "SELECT column_name, ordinal_position, data_type, is_nullable, is_primary_key, is_identity, collation FROM sys.columns WHERE table_name = 'regions'",
+        _NATIONS.format("CASCADE") + "SELECT collation, is_identity, data_type, column_name, is_primary_key, ordinal_position, is_nullable FROM sys.columns WHERE table_name = 'regions'",
         "SELECT * FROM (VALUES ('id', 1, 'INTEGER', 0, 1, 1, NULL), ('name', 2, 'TEXT', 0, 0, 0, 'NOCASE'), ('big', 3, 'BOOLEAN', 1, 0, 0, NULL)) t(column_name, ordinal_position, data_type, is_nullable, is_primary_key, is_identity, \"collation\")",
     ),
     "sql_foreign_keys": (_NATIONS.format("SET NULL") + "SELECT * FROM sys.foreign_keys", "SELECT 'fk_states_1' AS constraint_name, 'states' AS table_name, 'region' AS column_name, 'regions' AS referenced_table_name, 'id' AS referenced_column_name, 'SET NULL' AS on_delete, 'CASCADE' AS on_update"),
     "sql_analyze": (
-        _NATIONS.format("CASCADE") + "ANALYZE states; INSERT INTO regions VALUES (9, 'x', NULL); ANALYZE regions; DELETE FROM regions WHERE id = 9; SELECT table_name, column_name, distinct_count, non_null_count, min_value, max_value, is_stale FROM sys.column_stats WHERE column_name <> 'big'",
+        _NATIONS.format("CASCADE") + "ANALYZE states; INSERT INTO regions VALUES (9, 'x', NULL); ANALYZE regions; DELETE FROM regions WHERE id = 9; SELECT is_stale, table_name, column_name, max_value, min_value, non_null_count, distinct_count FROM sys.column_stats WHERE column_name <> 'big'",
         "SELECT * FROM (VALUES ('states', 'id', 5::BIGINT, 5::BIGINT, '1', '5', 0), ('states', 'name', 5, 5, 'a;b', 'it''s', 0), ('states', 'region', 3, 4, '1', '3', 0), ('states', 'area', 4, 4, '0.01', '22.50', 0), "
         "('regions', 'id', 4, 4, '1', '9', 1), ('regions', 'name', 4, 4, 'East', 'x', 1)) t(table_name, column_name, distinct_count, non_null_count, min_value, max_value, is_stale)",
     ),
+    "sql_planner_statistics": (
+        "CREATE TABLE n (a INTEGER, b INTEGER, c TEXT); CREATE INDEX ab ON n (a, b); INSERT INTO n VALUES (0, 1, 'x'), (0, 1, 'x'), (7, 2, 'y'), (8, 2, 'x'); ANALYZE n; "
+        "SELECT column_name AS k, TEXT(bucket) AS v, row_count AS n FROM sys.planner_histograms WHERE column_name = 'a' UNION ALL SELECT column_name, value, frequency_ppm FROM sys.planner_heavy_hitters WHERE column_name = 'c' UNION ALL SELECT index_name, columns, distinct_count FROM sys.planner_index_prefix_stats",
+        "SELECT * FROM (VALUES ('a', '0', 2::BIGINT), ('a', '7', 2), ('c', 'x', 750000), ('c', 'y', 250000), ('ab', 'a', 3), ('ab', 'a,b', 3)) t(k, v, n)",
+    ),
     "sql_find_duplicates": (
         "CREATE TABLE people (id INTEGER PRIMARY KEY, mail TEXT COLLATE NOCASE, n DECIMAL(18,2)); INSERT INTO people VALUES (4, 'Q@x.org', 1.50), (7, 'q@X.ORG', 1.5), (8, NULL, 2), (9, NULL, 2), (10, 'o''k', 1); FIND DUPLICATES IN people ON mail, n",
         "SELECT * FROM (VALUES ('[''Q@x.org'', 1.50]', 2::BIGINT, 4::BIGINT, '4', '7', '7'), ('[NULL, 2.00]', 2, 8, '8', '9', '9')) t(key_values, group_size, winner_rowid, winner_primary_key, duplicate_rowids, duplicate_primary_keys)",
@@ -212,12 +218,31 @@ def _udf(spark: SparkSession, d: str) -> DataFrame:
     return made.execute(text)
 
 
+def _fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    texts = ["SELECT a FROM t WHERE b = 'x' AND c <> 5", "select A\nfrom T where b='y' /* other */ and c != @p;", "SELECT a FROM t"]
+    return spark.createDataFrame([(i, Engine.fingerprint(t)) for i, t in enumerate(texts)], "id int, digest string")
+
+
 def _explain(spark: SparkSession, d: str) -> DataFrame:
     text = "EXPLAIN SELECT n_name, COUNT(*) FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE c_acctbal > 123 GROUP BY n_name"
     return engine(spark, d, text).execute(text)
 
 
+def _explain_shape(spark: SparkSession, d: str) -> DataFrame:
+    """Of that plan: its columns, roots, scans and joins, and whether it shows the literal."""
+    rows = _explain(spark, d)
+    return rows.selectExpr("15 = " + str(len(rows.columns)) + " AS wide", "node_id", "parent_node_id", "access_path", "join_type", "predicate").groupBy("wide").agg(
+        F.count(F.when(F.col("parent_node_id").isNull(), 1)).alias("roots"),
+        F.count("access_path").alias("scans"),
+        F.count("join_type").alias("joins"),
+        F.max(F.coalesce(F.col("predicate").contains("123"), F.lit(False))).alias("shown"),
+    )
+
+
 QUERIES = {name: statement(text, **params) for name, (text, params, _) in SELECTS.items()} | {name: script(text) for name, (text, _) in SCRIPTS.items()}
 ORACLES = {name: oracle for name, (_, _, oracle) in SELECTS.items()} | {name: oracle for name, (_, oracle) in SCRIPTS.items()}
-QUERIES |= {"sql_udf": _udf, "sql_explain": _explain}
+QUERIES |= {"sql_fingerprints": _fingerprints, "sql_udf": _udf, "sql_explain": _explain, "sql_explain_shape": _explain_shape}
+ORACLES["sql_explain_shape"] = "SELECT true AS wide, 1::BIGINT AS roots, 2::BIGINT AS scans, 1::BIGINT AS joins, false AS shown"
 ORACLES["sql_udf"] = "SELECT p_partkey, p_size::BIGINT * 2 AS t, p_name || '-' || p_name AS u, CAST(list_max([length(w) FOR w IN string_split(p_name, ' ')]) AS INTEGER) AS l FROM part WHERE p_size * 2 > 20"
+_SHOWN = "sha256('SELECT A FROM T WHERE B = ? AND C <> ?')"
+ORACLES["sql_fingerprints"] = f"SELECT 0 AS id, {_SHOWN} AS digest UNION ALL SELECT 1, {_SHOWN} UNION ALL SELECT 2, sha256('SELECT A FROM T')"

@@ -842,7 +842,12 @@ class Engine:
             plain = [c.name for c in table.columns]
             columns = [r.asDict() for r in H.column_stats(df).collect()]
             hitters = {c: [r.asDict() for r in H.heavy_hitters(df, c).collect()] for c in plain}
-            self.stats[table.name.lower()] = {"version": table.version, "rows": df.count(), "columns": columns, "hitters": hitters}
+            numeric = [c.name for c in table.columns if spark_type(c.type).split("(")[0] in ("smallint", "int", "bigint", "double", "decimal")]
+            bars = {c: [[r["bucket"], str(r["low"]), str(r["high"]), r["row_count"]] for r in H.histogram(df, c).orderBy("bucket").collect()] for c in numeric}
+            lists = {i["name"]: i["columns"] for i in self.indexes.values() if i["table"].lower() == table.name.lower() and len(i["columns"]) > 1}
+            lists |= {k["name"]: k["columns"] for k in table.keys if len(k["columns"]) > 1}
+            prefixes = {n: [[r["prefix"], r["distinct_count"]] for r in H.prefix_counts(df, cols).collect()] for n, cols in lists.items()}
+            self.stats[table.name.lower()] = {"version": table.version, "rows": df.count(), "columns": columns, "hitters": hitters, "bars": bars, "prefixes": prefixes}
         self._save()
         return self._done()
 

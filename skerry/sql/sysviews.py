@@ -101,6 +101,19 @@ def _hitters(engine: object) -> list[tuple]:
     ]
 
 
+def _analyzed(engine: object) -> list[tuple]:
+    """(table's name, its statistics, whether they are stale)."""
+    return [(engine.tables[k].name, s, int(engine.tables[k].version != s["version"])) for k, s in engine.stats.items() if k in engine.tables]
+
+
+def _histograms(engine: object) -> list[tuple]:
+    return [(t, c, *bar, stale) for t, s, stale in _analyzed(engine) for c, bars in s["bars"].items() for bar in bars]
+
+
+def _prefixes(engine: object) -> list[tuple]:
+    return [(t, i, columns, n, stale) for t, s, stale in _analyzed(engine) for i, found in s["prefixes"].items() for columns, n in found]
+
+
 _VIEWS = {
     "tables": ("table_name string, column_count int, primary_key_column string", _tables),
     "columns": ("table_name string, column_name string, ordinal_position int, data_type string, is_nullable int, is_primary_key int, is_identity int, is_row_version int, collation string", lambda e: _columns(e.tables)),
@@ -119,6 +132,8 @@ _VIEWS = {
     "saved_queries": ("id int, name string, sql_text string, created_utc string, updated_utc string", lambda e: [(q["id"], q["name"], q["sql"], q["created"], q["updated"]) for q in e.saved.values()]),
     "table_stats": ("table_name string, row_count long, row_count_is_exact int, has_stale_columns int", _stats),
     "column_stats": ("table_name string, column_name string, ordinal_position int, distinct_count long, non_null_count long, min_value string, max_value string, is_stale int", _column_stats),
+    "planner_histograms": ("table_name string, column_name string, bucket int, low string, high string, row_count long, is_stale int", _histograms),
+    "planner_index_prefix_stats": ("table_name string, index_name string, columns string, distinct_count long, is_stale int", _prefixes),
     "planner_heavy_hitters": ("table_name string, column_name string, value string, row_count long, frequency_ppm long, is_stale int", _hitters),
 }
 
