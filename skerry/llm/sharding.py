@@ -133,14 +133,17 @@ def assign_shards(
     id_col: str = "doc_id",
     text_col: str = "text",
     rounds: int = ROUNDS,
+    groups: bool = False,
 ) -> DataFrame:
     """id, size, text_crc32, shard, slot of every row; counts are at most one apart.
 
     size is the text's UTF-8 bytes plus 16. slot numbers a shard's rows from 0
     without gaps. Rows with equal texts, '' among them, are linked and put into
     one shard as far as its quota allows; null texts (16 bytes, CRC 0) are linked
-    with nothing. Null ids and repeated rows are rows like any others. Other
-    columns are ignored. An empty table gives an empty result.
+    with nothing. Null ids and repeated rows are rows like any others; of a very
+    long text only size and hashes are carried on. Other
+    columns are ignored. An empty table gives an empty result. With `groups` the
+    texts' hashes are added, for cut_links().
 
     Groups and rows are only joined, counted and stored; some numbers for each
     shard and the sizes of at most 65 groups a shard reach the driver. A group that holds a third of all rows is counted by
@@ -160,8 +163,8 @@ def assign_shards(
     rows = materialise(rows)
     total = rows.count()
     quotas = [total // shards + (s < total % shards) for s in range(shards)]
-    groups = rows.filter("group is not null").groupBy("group").count().filter("count > 1").select("group", F.lit(True).alias("linked"))
-    marked = materialise(rows.join(small(materialise(groups)), "group", "left").withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")))
+    several = rows.filter("group is not null").groupBy("group").count().filter("count > 1").select("group", F.lit(True).alias("linked"))
+    marked = materialise(rows.join(small(materialise(several)), "group", "left").withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")))
     linked = materialise(marked.filter("linked").drop("linked"))
     if min(quotas) > 0:
         for rnd in range(1, rounds + 1):
@@ -172,7 +175,7 @@ def assign_shards(
     placed = materialise(numbered(linked, "slot", ["shard"]))
     quota = F.get(F.array(*map(F.lit, quotas)), F.col("shard")).cast("long")
     held = [min(n, q) for n, q in zip(_loads(linked, "shard", shards), quotas, strict=True)]
-    cols = ["id", "size", "text_crc32"]
+    cols = ["id", "size", "text_crc32", *(["group"] if groups else [])]
     rest = placed.filter(F.col("slot") >= quota).select(cols).union(marked.filter("linked is null").select(cols))
     free, upto = [q - h for q, h in zip(quotas, held, strict=True)], [0]
     for n in free:
@@ -185,3 +188,18 @@ def assign_shards(
     filled = filled.select(*cols, "shard", (F.get(starts, F.col("shard")) + F.col("nth")).alias("slot"))
     out = placed.filter(F.col("slot") < quota).select(*cols, "shard", "slot").union(filled)
     return out.withColumnRenamed("id", id_col)
+
+
+def cut_links(placed: DataFrame) -> DataFrame:
+    """groups, links, cut: of groups of equal texts, the least links that join them and those between shards.
+
+    `placed` is assign_shards(..., groups=True). A group of m rows has m - 1 links,
+    and in s shards s - 1 of them are cut.
+    """
+    cells = placed.filter("group is not null").groupBy("group", "shard").count()
+    found = cells.groupBy("group").agg(F.sum("count").alias("members"), F.count("*").alias("shards")).filter("members > 1")
+    return found.agg(
+        F.count("*").alias("groups"),
+        F.coalesce(F.sum(F.col("members") - 1), F.lit(0)).alias("links"),
+        F.coalesce(F.sum(F.col("shards") - 1), F.lit(0)).alias("cut"),
+    )
