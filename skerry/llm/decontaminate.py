@@ -124,8 +124,9 @@ def find_contamination(
 
     Null and empty texts have no words and hit nothing, and such items have no
     windows. Items without an id are found but not named. Null ids and repeated
-    rows are judged like any others; equal items are each named. Other columns
-    are ignored. Either table may be empty.
+    rows are judged like any others; equal items are each named. A very long text
+    is one row, with two hashes for each of its words. Other columns are ignored.
+    Either table may be empty.
 
     Fingerprints of the benchmark are broadcast if their number is within the
     bound of small(); else both sides are joined by a shuffle.

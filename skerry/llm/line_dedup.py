@@ -64,8 +64,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null texts stay null, with one empty line; texts of fewer than `window`
     non-blank lines are unchanged, and a text may become ''. A null id comes
     before all others. Rows that repeat an id and a text are one document, with
-    one result in each row. All other columns are passed on, whatever their
-    names. An empty table gives an empty result.
+    one result in each row. A very long text is one row, its lines and their
+    hashes one array. All other columns are passed on, whatever their names. An
+    empty table gives an empty result.
     """
     names = docs.columns
     key, gone = free_name(names, "line_key"), free_name(names, "lines_gone")

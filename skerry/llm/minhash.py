@@ -13,10 +13,12 @@ m * m pairs: every class is compared with the bucket's least one, the links
 found are closed into components, and only buckets that still hold more than
 one component are worked on further, the classes outside the bucket's main
 component against all of the bucket, in blocks. No bucket is capped. Pairs whose
-set sizes alone exclude the threshold are dropped before any join; a pair that
-shares several bands is compared in the first of them only; and pairs are
-verified by blocks too, so that each set is sent once to a block and pairs that
-the block has already connected are passed over.
+set sizes alone exclude the threshold are dropped before any join, and a pair
+that shares several bands is compared in the first of them only. Sets are sent to
+the block that compares their signatures, once each, and survivors are verified
+there by falling matches; pairs that the block has connected already are passed
+over. So no list of pairs is ever stored: a block hands on fewer links than it
+has rows.
 """
 
 from __future__ import annotations
@@ -164,7 +166,7 @@ def _parts(n: str, weight: str) -> Column:
 
 
 def _star(buckets: DataFrame, classes: DataFrame, threshold: float, miss: float, percent: int) -> DataFrame:
-    """block, a, b, ca, cb, m: each class and its buckets' least ones, if the test can't exclude them."""
+    """block, a, b, m: each class and its buckets' least ones, if the test can't exclude them."""
     sizes = classes.select("node", F.col("n_shingles").alias("size"))
     pairs = buckets.filter("node <> a").select("a", F.col("node").alias("b")).distinct()
     pairs = pairs.join(sizes.withColumnsRenamed({"node": "a", "size": "na"}), "a").join(sizes.withColumnsRenamed({"node": "b", "size": "nb"}), "b")
@@ -182,18 +184,12 @@ def _star(buckets: DataFrame, classes: DataFrame, threshold: float, miss: float,
     left = materialise(pairs.join(sa, "a").join(sb, "b").mapInArrow(run, "a long, b long, nb long, m int"))
     parts = left.groupBy("a").agg(F.count("*").alias("n"), F.sum("nb").alias("w")).select("a", _parts("n", "w").alias("parts"))
     dealt = left.join(small(materialise(parts)), "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")))
-    return dealt.select(F.xxhash64("a", "part").alias("block"), "a", "b", F.col("a").alias("ca"), F.col("b").alias("cb"), "m")
+    return dealt.select(F.xxhash64("a", "part").alias("block"), "a", "b", "m")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links a, b among pairs (block, a, b, ca, cb, m) that connect what all of their links would.
-
-    A link is a pair whose full shingle sets reach the threshold. ca and cb are
-    components that a and b are known to be in; a block's pairs are tested by
-    falling matches m, and those that earlier ones have connected are left out.
-    """
-    places = materialise(pairs.select("block", F.col("a").alias("node")).union(pairs.select("block", "b")).distinct())
-    wanted = materialise(places.select("node").distinct().join(classes.select("node", "id", "key"), "node"))
+def _sets(nodes: DataFrame, docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """node, shingles (sorted 64-bit hashes): the full sets of some classes, from their texts."""
+    wanted = materialise(nodes.distinct().join(classes.select("node", "id", "key"), "node"))
     texts = docs.join(small(wanted), ["id", "key"]).select("node", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,34 +201,50 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, perce
                     [batch.column("node").slice(first, last - first), pa.array(sets, pa.binary())], ["node", "shingles"]
                 )
 
-    sets = texts.mapInArrow(cut, "node long, shingles binary").dropDuplicates(["node"])
+    return texts.mapInArrow(cut, "node long, shingles binary").dropDuplicates(["node"])
+
+
+def alike(x: bytes, y: bytes, percent: int) -> bool:
+    """Whether two sets of sorted hashes reach the threshold."""
+    both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
+    both.sort()
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= percent * (len(both) - shared)
+
+
+def connecting(pairs: list[tuple], sets: dict[int, bytes], percent: int) -> list[tuple[int, int]]:
+    """Links among pairs (matches, a, b, component of a, of b) that connect what all links would."""
+    home: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while (up := home.get(c, c)) != c:
+            home[c] = c = home.get(up, up)
+        return c
+
+    found = []
+    for _, a, b, ca, cb in sorted(pairs, key=lambda r: (-r[0], r[1:3])):
+        ca, cb = find(ca), find(cb)
+        if ca != cb and alike(sets[a], sets[b], percent):
+            found.append((a, b))
+            home[ca] = cb
+    return found
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links a, b among pairs (block, a, b, m): those that connect what all links of a block would.
+
+    A link is a pair whose full shingle sets reach the threshold; each set is
+    sent once to a block.
+    """
+    places = materialise(pairs.select("block", F.col("a").alias("node")).union(pairs.select("block", "b")).distinct())
 
     def test(placed: pa.Table, asked: pa.Table) -> pa.Table:
-        shingle_sets = {
-            n: np.frombuffer(b.as_buffer(), np.uint64) for n, b in zip(placed.column("node").to_pylist(), placed.column("shingles"), strict=True)
-        }
-        home: dict[int, int] = {}
-
-        def find(c: int) -> int:
-            while (up := home.get(c, c)) != c:
-                home[c] = c = home.get(up, up)
-            return c
-
-        found: list[tuple[int, int]] = []
-        for a, b, ca, cb, _ in sorted(zip(*(asked.column(c).to_pylist() for c in ("a", "b", "ca", "cb", "m")), strict=True), key=lambda r: (-r[4], r[:2])):
-            ca, cb = find(ca), find(cb)
-            if ca == cb:
-                continue
-            x, y = shingle_sets[a], shingle_sets[b]
-            both = np.concatenate([x, y])
-            both.sort()
-            shared = int((both[1:] == both[:-1]).sum())
-            if 100 * shared >= percent * (len(both) - shared):
-                found.append((a, b))
-                home[ca] = cb
+        sets = dict(zip(placed.column("node").to_pylist(), placed.column("shingles").to_pylist(), strict=True))
+        rows = [(m, a, b, a, b) for a, b, m in zip(*(asked.column(c).to_pylist() for c in ("a", "b", "m")), strict=True)]
+        found = connecting(rows, sets, percent)
         return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
-    placed = places.join(sets, "node").groupBy("block").cogroup(pairs.groupBy("block"))
+    placed = places.join(_sets(places.select("node"), docs, classes, k), "node").groupBy("block").cogroup(pairs.groupBy("block"))
     return placed.applyInArrow(test, "a long, b long")
 
 
@@ -268,8 +280,8 @@ def _unresolved(buckets: DataFrame, parts: DataFrame, bands: int) -> DataFrame:
     return rows.join(small(materialise(open_)), "bucket")
 
 
-def _blocks(open_: DataFrame, classes: DataFrame, threshold: float, miss: float, rows_: int, percent: int) -> DataFrame:
-    """block, a, b, ca, cb, m: surviving pairs of different components within open buckets.
+def _blocks(open_: DataFrame, docs: DataFrame, classes: DataFrame, k: int, threshold: float, miss: float, rows_: int, percent: int) -> DataFrame:
+    """Links a, b between different components within open buckets, enough to connect what all would.
 
     Rows outside a bucket's main component meet every row of the bucket, in
     blocks of bounded size. A pair that shares an earlier band is left to that
@@ -282,19 +294,19 @@ def _blocks(open_: DataFrame, classes: DataFrame, threshold: float, miss: float,
     cols = ("bucket", "band", "node", "component", "size", "outer")
     outer = open_.filter("outer").select(*cols, F.lit(True).alias("out"), place(few).alias("i"), every(all_).alias("j"))
     inner = open_.select(*cols, F.lit(False).alias("out"), every(few).alias("i"), place(all_).alias("j"))
-    rows = outer.union(inner).join(classes.select("node", "sig"), "node")
+    sets = _sets(open_.select("node"), docs, classes, k)
+    rows = outer.union(inner).join(sets.join(classes.select("node", "sig"), "node"), "node")
     # a block is few bytes and much work: its tasks must not be merged by their bytes
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(tasks, "bucket", "i", "j")
 
     def test(pdf: pd.DataFrame) -> pd.DataFrame:
         ys, xs = pdf[pdf["out"]], pdf[~pdf["out"]]
-        found = []
+        pairs = []
         if len(ys) and len(xs):
             x_sig, x_node, x_part, x_size = _matrix(xs["sig"]), xs["node"].to_numpy(), xs["component"].to_numpy(), xs["size"].to_numpy()
             x_outer = xs["outer"].to_numpy()
             band = int(pdf["band"].iloc[0])
-            block = hash((int(pdf["bucket"].iloc[0]), int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])))
             for node, part, size, sig in zip(ys["node"].tolist(), ys["component"].tolist(), ys["size"].tolist(), _matrix(ys["sig"]), strict=True):
                 other = np.flatnonzero((x_part != part) & near_in_size(x_size, size, percent) & (~x_outer | (x_node > node)))
                 if not len(other):
@@ -304,11 +316,11 @@ def _blocks(open_: DataFrame, classes: DataFrame, threshold: float, miss: float,
                 if band and len(at):
                     first = (x_sig[at, : band * rows_] == sig[: band * rows_]).reshape(len(at), band, rows_).all(axis=2).any(axis=1)
                     at, matches = at[~first], matches[~first]
-                found += [(block, node, v, part, p, m) for v, p, m in zip(x_node[at].tolist(), x_part[at].tolist(), matches.tolist(), strict=True)]
-        out = pd.DataFrame(found, columns=["block", "a", "b", "ca", "cb", "m"], dtype="int64")
-        return out.astype({"m": "int32"})
+                pairs += [(m, node, v, part, p) for v, p, m in zip(x_node[at].tolist(), x_part[at].tolist(), matches.tolist(), strict=True)]
+        found = connecting(pairs, dict(zip(pdf["node"].tolist(), pdf["shingles"], strict=True)), percent) if pairs else []
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return rows.groupBy("bucket", "i", "j").applyInPandas(test, "block long, a long, b long, ca long, cb long, m int")
+    return rows.groupBy("bucket", "i", "j").applyInPandas(test, "a long, b long")
 
 
 def near_duplicates(
@@ -333,8 +345,10 @@ def near_duplicates(
     Null and empty texts and texts without words have no shingles and are linked
     with nothing: they are their own component. Rows without an id can't name a
     component: component_id is null and they are kept. Rows that repeat an id
-    are judged each by their own text. Equal texts tie by the least id. Other
-    columns are ignored. An empty table gives an empty result.
+    are judged each by their own text. Equal texts tie by the least id. Very long
+    texts are taken whole, each in the memory of one task; their sets weigh more in
+    the size of a block. Other columns are ignored. An empty table gives an empty
+    result.
 
     miss: probability that the sequential test drops a pair at the threshold.
     keyed: add key, the text's hash, which tells rows of one id apart.
@@ -359,8 +373,7 @@ def near_duplicates(
     open_ = materialise(_unresolved(buckets, parts, bands))
     discard(shared, buckets)
     if open_.limit(1).count():
-        pairs = materialise(_blocks(open_, classes, threshold, miss, rows, percent))
-        more = materialise(_verify(pairs, docs, classes, shingle, percent))
+        more = materialise(_blocks(open_, docs, classes, shingle, threshold, miss, rows, percent))
         if more.limit(1).count():
             parts = connected_components(links.union(more))
     joined = classes.select("class", "node", "id").join(parts, "node", "left")

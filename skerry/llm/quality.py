@@ -333,7 +333,8 @@ def judge(
     averaged with the wider groups'. key is a hash of the
     text, which tells rows of one id apart.
 
-    Null texts have no words and fail. Null languages and sources are groups of
+    Null texts have no words and fail. Very long ones are taken whole, each in the
+    memory of one task. Null languages and sources are groups of
     their own, and a group may be of one row. Null ids and repeated rows are
     judged like any others; ties at the cut-off are kept. Other columns are
     ignored. An empty table gives an empty result, and without a row that passes

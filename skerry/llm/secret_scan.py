@@ -153,8 +153,9 @@ def scan_secrets(
     overlap no pattern span, or else such parts of a run between its separators
     or its words. Whole texts are scanned.
 
-    Null and empty texts have no spans. Null ids and repeated rows are kept and
-    scanned each; other columns are ignored. An empty table gives an empty result.
+    Null and empty texts have no spans. Very long ones are scanned whole, each in
+    the memory of one task. Null ids and repeated rows are kept and scanned each;
+    other columns are ignored. An empty table gives an empty result.
 
     vocabulary: a tiktoken rank file or its bytes; it is read once, by the
     driver, and sent to the executors (under 1 MB).

@@ -355,8 +355,9 @@ def repeated_passages(
 
     Null, empty and short texts have no spans. Of equal texts the least id (null
     before all others) is the earliest; the others are later throughout, if they
-    have `least` words. Rows that repeat an id and a text are alike. Other
-    columns are ignored. An empty table gives an empty result.
+    have `least` words. Rows that repeat an id and a text are alike. Very long
+    texts are taken whole, each in the memory of one task. Other columns are
+    ignored. An empty table gives an empty result.
     """
     if least < window + gram - 1:
         raise ValueError("least must be at least window + gram - 1")

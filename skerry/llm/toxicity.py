@@ -190,7 +190,8 @@ def score_toxicity(
     modulo 4 is not 2), at most `max_labelled` of them. Only the text decides a
     score, from 0 to 1; predicted is 1 from `threshold`.
 
-    Null and empty texts have no n-grams and score the intercept. Null labels and
+    Null and empty texts have no n-grams and score the intercept. Very long texts
+    are taken whole, each in the memory of one task. Null labels and
     labels without a document are passed over, and an id with several labels
     counts once for each. Null ids aren't held out; repeated rows are scored
     each; other columns are ignored. Without labels of both kinds every text

@@ -114,7 +114,8 @@ def filter_urls(
 
     Null urls and those without '://' have an empty host and path, which only a
     rule without host and path fits. Repeated rows are judged each; null ids are
-    kept; other columns are ignored. An empty table gives an empty result.
+    kept; other columns are ignored; urls may be of any length. An empty table
+    gives an empty result.
 
     The trie is broadcast as long as there are at most `trie_rules` rules (some
     100 MB in a Python worker); beyond that rules are joined on host suffixes and

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from skerry.llm import quality
 from skerry.llm.packing import pack
 from skerry.llm.secret_scan import VOCABULARY, Scanner, scan_secrets
-from skerry.llm.sharding import assign_shards
+from skerry.llm.sharding import assign_shards, cut_links
 from skerry.llm.suffix_dedup import repeated_passages
 from skerry.llm.toxicity import points, score_toxicity
 from skerry.llm.url_filter import filter_urls
@@ -97,6 +97,13 @@ def test_shards_of_odd_rows(spark):
     assert all(sorted(g.slot) == list(range(100)) for _, g in out.groupby("shard"))
 
 
+def test_cut_links(spark):
+    rows = [(i, "hot" if i < 300 else f"t{i // 2}" if i < 600 else None) for i in range(900)]
+    placed = assign_shards(frame(spark, rows), 9, groups=True)
+    # 300 equal rows need three shards of a hundred; no pair is cut
+    assert tuple(cut_links(placed).first()) == (151, 299 + 150, 2)
+
+
 def test_shards_do_not_depend_on_the_partitions(spark):
     rows = [(i, f"t{i // 3}") for i in range(900)]
     a, b = (assign_shards(frame(spark, rows).repartition(n), 6, rounds=4).toPandas() for n in (1, 5))

@@ -345,6 +345,12 @@ def test_toxicity_odd(spark, odd):
     labels = spark.createDataFrame([(1, 1), (1, 0), (6, 0), (3, None), (None, 1), (99, 1)], "doc_id long, toxic int")
     out = score_toxicity(odd, labels).collect()
     assert len(out) == odd.count() and all(0 <= r["score"] <= 1 for r in out)
+    scores = collections.defaultdict(set)
+    for r in out:
+        scores[r["doc_id"]].add(r["score"])
+    # without n-grams: the intercept, whatever the reason; equal texts score alike
+    assert scores[3] == scores[4] and len(scores[3]) == 1 and scores[1] == scores[2] and len(scores[2]) == 1
+    assert [r["held_out"] for r in out if r["doc_id"] is None] == [False]
 
 
 def brute_statistics(t):
@@ -366,6 +372,8 @@ def test_quality(docs, texts, odd):
         for r in out:
             assert r["base_failed"] == (r["n_words"] < 10 or 100 * r["n_repeat_words"] > 20 * r["n_words"])
             assert not (r["base_failed"] and r["kept"])
+            assert (r["distance"] is None) == r["base_failed"]
+        assert len({(r["id"], r["key"], r["kept"]) for r in out}) == len({(r["id"], r["key"]) for r in out})
     assert judge(odd.limit(0)).count() == 0
 
 
