@@ -38,3 +38,17 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         labels = moved.select("node", "component")
         if moved.filter("old <> component").limit(1).count() == 0:
             return labels
+
+
+def merged(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """`parts` (node, component) with further links a, b, whose ends may be new nodes.
+
+    Components take the place of their nodes first, so that the rounds see only
+    the different pairs of components that links join.
+    """
+    of = lambda end: parts.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+    pairs = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    top = connected_components(pairs.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).distinct())
+    new = top.join(parts.select("node"), "node", "left_anti").select("node", F.col("node").alias("component"))
+    higher = top.select(F.col("node").alias("component"), F.col("component").alias("least"))
+    return materialise(parts.unionByName(new).join(higher, "component", "left").select("node", F.coalesce("least", "component").alias("component")))

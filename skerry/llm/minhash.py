@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from skerry.llm._store import discard, materialise, small
 from skerry.llm._text import Words, chunks, mix, shingles, span_hash
-from skerry.llm.components import connected_components
+from skerry.llm.components import connected_components, merged
 
 BANDS, ROWS = 42, 6  # a pair of similarity 0.8 shares no band once in 350,000
 BATCH = 36  # hashes compared before each decision
@@ -375,7 +375,7 @@ def near_duplicates(
     if open_.limit(1).count():
         more = materialise(_blocks(open_, docs, classes, shingle, threshold, miss, rows, percent))
         if more.limit(1).count():
-            parts = connected_components(links.union(more))
+            parts = merged(parts, more)
     joined = classes.select("class", "node", "id").join(parts, "node", "left")
     named = joined.filter("component is not null").groupBy("component").agg(F.min("id").alias("least"))
     of_class = joined.join(named, "component", "left").select("class", F.coalesce("least", "id").alias("component_id"))

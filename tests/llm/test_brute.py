@@ -326,3 +326,25 @@ def test_quality_of_every_language_and_source(spark):
     # one more estimate a group: a group of its own, measured exactly
     group = out[(out.source == "prose") & ~out.base_failed]
     assert bisect.bisect(sorted(group.distance), quality.chi_square(6, 5.0)) == 500
+
+
+# --- components
+def test_components_by_rounds_and_merged(spark):
+    from skerry.llm.components import connected_components, merged
+
+    rng = random.Random(5)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(150)] + [(i, i + 1) for i in range(1000, 1060)]
+    more = [(rng.randrange(400), rng.randrange(400)) for _ in range(60)] + [(1000, 5)]
+    table = lambda rows: spark.createDataFrame(rows, "a long, b long")
+
+    def brute(rows):
+        root = {x: x for r in rows if r[0] != r[1] for x in r}
+        for _ in root:
+            for a, b in rows:
+                if a != b:
+                    root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    got = lambda df: {r["node"]: r["component"] for r in df.collect()}
+    parts = connected_components(table(links))
+    assert got(parts) == brute(links) and got(merged(parts, table(more))) == brute(links + more)
