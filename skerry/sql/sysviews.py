@@ -7,7 +7,7 @@ import time
 
 from pyspark.sql import DataFrame
 
-from skerry.sql.emit import AGGREGATES, SCALARS, spark_type
+from skerry.sql.emit import AGGREGATES, SCALARS
 
 MAX_NODES, MAX_TEXT = 500, 512
 _SIZED = ("DECIMAL", "CHAR", "VARCHAR", "BINARY", "VARBINARY", "TIME", "DATETIME2", "DATETIMEOFFSET", "BIT", "VARBIT")
@@ -227,4 +227,4 @@ def estimate(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, schema)
 
 
-__all__ = ["estimate", "explain_change", "physical", "redacted", "spark_type", "view"]
+__all__ = ["estimate", "explain_change", "physical", "redacted", "view"]

@@ -1,6 +1,7 @@
 """The dialect: its lexical rules, what it refuses, and what an engine keeps."""
 
 import decimal
+import random
 
 import pytest
 from hypothesis import given
@@ -132,3 +133,43 @@ def test_plans(db):
     assert (run["actual_rows"], run["status"]) == (2, "executed")
     found = db.execute("EXPLAIN ESTIMATE FOR SELECT name FROM t WHERE x = 1").collect()
     assert len(found[0]) == 10 and found[0]["stats_state"] == "not_executed" and {"filter", "access_path"} & {r["node_kind"] for r in found}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_random_foreign_keys(spark, seed):
+    """Deletes through a random tree of cascading, nulling and restricting keys, against a walk by hand."""
+    rng = random.Random(seed)
+    db, parent, rows = Engine(spark), {}, {0: {i: None for i in range(1, 7)}}
+    db.execute("CREATE TABLE t0 (id INTEGER PRIMARY KEY, up INTEGER)")
+    db.execute("INSERT INTO t0 (id) VALUES (1), (2), (3), (4), (5), (6)")
+    for t in range(1, 4):
+        parent[t] = (rng.randrange(t), rng.choice(["CASCADE", "SET NULL", "RESTRICT"]))
+        db.execute(f"CREATE TABLE t{t} (id INTEGER PRIMARY KEY, up INTEGER REFERENCES t{parent[t][0]}(id) ON DELETE {parent[t][1]})")
+        rows[t] = {i: rng.choice([None, *rows[parent[t][0]]]) for i in range(1, 6)}
+        db.execute(f"INSERT INTO t{t} VALUES " + ", ".join(f"({i}, {'NULL' if u is None else u})" for i, u in rows[t].items()))
+
+    def remove(state, t, ids):
+        for i in ids:
+            state[t].pop(i, None)
+        for child, (up, action) in parent.items():
+            hit = [i for i, u in state[child].items() if up == t and u in ids]
+            if hit and action == "RESTRICT":
+                raise SqlError("restricted")
+            if action == "CASCADE" and hit:
+                remove(state, child, hit)
+            for i in hit if action == "SET NULL" else []:
+                state[child][i] = None
+
+    for t in (0, 1):
+        ids = rng.sample(sorted(rows[t]), min(2, len(rows[t])))
+        want = {k: dict(v) for k, v in rows.items()}
+        sql = f"DELETE FROM t{t} WHERE id IN ({', '.join(map(str, ids))})"
+        try:
+            remove(want, t, ids)
+        except SqlError:
+            with pytest.raises(SqlError):
+                db.execute(sql)
+        else:
+            db.execute(sql)
+            rows = want
+        assert {k: dict(map(tuple, db.execute(f"SELECT id, up FROM t{k}").collect())) for k in rows} == rows
