@@ -22,6 +22,7 @@ on one row for each of its different windows, and an aggregation joins those.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -184,9 +185,9 @@ def _contexts(texts: DataFrame, least: int, window: int, gram: int) -> DataFrame
     return texts.mapInArrow(run, f"right binary, left binary, head int, id {id_type}, node binary, at long")
 
 
-def _word_ends(part: bytes) -> list[int]:
+def _word_ends(part: bytes) -> array:
     """0, and the place after each word's space."""
-    return [0, *(np.flatnonzero(np.frombuffer(part, np.uint8) == 0x20) + 1).tolist()]
+    return array("q", b"\0" * 8 + (np.flatnonzero(np.frombuffer(part, np.uint8) == 0x20) + 1).tobytes())
 
 
 def _ranges(lefts: list[int], at: int, least: int) -> list[tuple[int, int]]:
@@ -214,17 +215,35 @@ class _Found:
         self.kind.append(kind)
         self.hash.append(digest)
 
+    def __len__(self) -> int:
+        return len(self.id)
+
+    def taken(self, id_type: pa.DataType) -> pa.RecordBatch:
+        """The rows so far, which are dropped here."""
+        columns = [pa.array(self.id, id_type), pa.array(self.node, pa.binary()), pa.array(self.start, pa.int64()), pa.array(self.end, pa.int64())]
+        columns += [pa.array(self.kind, pa.int32()), pa.array(self.hash, pa.binary())]
+        self.__init__()
+        return pa.RecordBatch.from_arrays(columns, ["id", "node", "start", "end", "kind", "hash"])
+
+
+#: Rows that a partition's runs yield at once, or a little more.
+FOUND_ROWS = 10_000
+#: Windows of a run that are held at once, or one for each of its suffixes.
+HELD_WINDOWS = 10_000
 
 #: Kinds of rows: a repeated range, one that occurs earlier too, and windows of
 #: a run's cut end: the partition's earliest occurrence, of several or the only one.
 ALL, LATER, OPEN, ALONE = range(4)
 
 
-def _resolve(run: list[tuple], least: int, cut: bool, out: _Found) -> None:
+def _resolve(run: list[tuple], least: int, cut: bool, out: _Found) -> Iterator[None]:
     """Extend the matches of a run of (left, right, place) with equal prefixes.
 
     A place is (id is not None, id, node, at). If the run may go on in another
-    partition, its windows' earliest places are handed on as open.
+    partition, its windows' earliest places are handed on as open. Equal windows
+    have as many words on the left, as their first minimiser is the suffix, so
+    a large run's windows are held for a few such numbers at a time. Each step
+    may add to `out`, whose rows may be taken between steps.
     """
     if len(run) < 2 and not cut:
         return
@@ -234,30 +253,39 @@ def _resolve(run: list[tuple], least: int, cut: bool, out: _Found) -> None:
     groups = [(left, right, sorted(places)) for (left, right), places in sides.items()]
     if len(groups) == 1 and len(groups[0][2]) < 2 and not cut:
         return
-    windows: dict[bytes, tuple[int, list[int]]] = {}
-    for g, (left, right, _) in enumerate(groups):
-        lefts, rights = _word_ends(left), _word_ends(right)
-        for n in range(len(lefts) - 1, least - len(rights), -1):  # words on the left, many to few
-            window = left[lefts[len(lefts) - 1 - n] :] + right[: rights[least - n]]
-            windows.setdefault(window, (n, []))[1].append(g)
+    ends = [(_word_ends(left), _word_ends(right)) for left, right, _ in groups]
     again: list[list[int]] = [[] for _ in groups]
     earliest: list[set[int]] = [set() for _ in groups]
-    for window, (n, members) in windows.items():
-        home = min(members, key=lambda g: groups[g][2][0])
-        place = groups[home][2][0]
-        alone = len(members) == 1 and len(groups[home][2]) == 1
-        if not alone:
-            for g in members:
-                again[g].append(n)
-            earliest[home].add(n)
-        if cut:
-            out.add(place, place[3] - n, place[3] - n + least, ALONE if alone else OPEN, hashlib.md5(window).digest())
+    most = max(len(lefts) for lefts, _ in ends) - 1
+    step = max(1, HELD_WINDOWS // len(groups))
+    for top in range(most, -1, -step):
+        windows: dict[bytes, tuple[int, list[int]]] = {}
+        for g, ((left, right, _), (lefts, rights)) in enumerate(zip(groups, ends, strict=True)):
+            # words on the left, many to few
+            for n in range(min(len(lefts) - 1, top), max(least - len(rights), top - step), -1):
+                window = left[lefts[len(lefts) - 1 - n] :] + right[: rights[least - n]]
+                windows.setdefault(window, (n, []))[1].append(g)
+        for window, (n, members) in windows.items():
+            home = min(members, key=lambda g: groups[g][2][0])
+            place = groups[home][2][0]
+            alone = len(members) == 1 and len(groups[home][2]) == 1
+            if not alone:
+                for g in members:
+                    again[g].append(n)
+                earliest[home].add(n)
+            if cut:
+                out.add(place, place[3] - n, place[3] - n + least, ALONE if alone else OPEN, hashlib.md5(window).digest())
+                if len(out) >= FOUND_ROWS:
+                    yield
     for (_, _, places), lefts, own in zip(groups, again, earliest, strict=True):
+        lefts.sort(reverse=True)
         for i, place in enumerate(places):
             for start, end in _ranges(lefts, place[3], least):
                 out.add(place, start, end, ALL)
             for start, end in _ranges(lefts if i else [n for n in lefts if n not in own], place[3], least):
                 out.add(place, start, end, LATER)
+            if len(out) >= FOUND_ROWS:
+                yield
 
 
 def _matched(contexts: DataFrame, least: int) -> DataFrame:
@@ -265,27 +293,22 @@ def _matched(contexts: DataFrame, least: int) -> DataFrame:
     id_type = contexts.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prefix, held, first, kind = None, [], True, None
-
-        def made(out: _Found) -> pa.RecordBatch:
-            columns = [pa.array(out.id, kind), pa.array(out.node, pa.binary()), pa.array(out.start, pa.int64()), pa.array(out.end, pa.int64())]
-            columns += [pa.array(out.kind, pa.int32()), pa.array(out.hash, pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, ["id", "node", "start", "end", "kind", "hash"])
-
+        prefix, held, first, kind, out = None, [], True, None, _Found()
         for batch in batches:
-            kind, out = batch.schema.field("id").type, _Found()
+            kind = batch.schema.field("id").type
             for right, left, head, key, node, at in zip(*(batch.column(c).to_pylist() for c in ("right", "left", "head", "id", "node", "at")), strict=True):
                 if right[:head] != prefix:
                     if held:
-                        _resolve(held, least, first, out)
+                        for _ in _resolve(held, least, first, out):
+                            yield out.taken(kind)
                         first = False
                     prefix, held = right[:head], []
                 held.append((left, right, (key is not None, key, node, at)))
-            yield made(out)
         if held:
-            out = _Found()
-            _resolve(held, least, True, out)
-            yield made(out)
+            for _ in _resolve(held, least, True, out):
+                yield out.taken(kind)
+        if len(out):
+            yield out.taken(kind)
 
     by = ["right", "node", "at"]
     rows = contexts.repartitionByRange(*by).sortWithinPartitions(*by)
