@@ -1,5 +1,6 @@
 """Scalar functions and expression rules on literals."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,3 +48,13 @@ def test_errors(spark):
     for x in bad:
         with pytest.raises(Exception):
             spark.range(1).select(x.alias("x")).collect()
+
+
+def test_day_numbers_beyond_year_9999(spark):
+    """As text they go as far as dates do, as numbers they end with the year 9999."""
+    keys = [1, 2958465, 2958466, 2958467, 8999999, 54000000]
+    days = spark.createDataFrame([(k,) for k in keys], "k long")
+    got = [tuple(r) for r in days.select(S.month(F.col("k").cast("string")), S.month(F.col("k"))).collect()]
+    duck = duckdb.sql(f"SELECT month(DATE '1899-12-30' + k::INTEGER) FROM (SELECT unnest({keys}) AS k)").fetchall()
+    assert [text for text, _ in got] == [month for (month,) in duck]
+    assert [number for _, number in got[:2]] == [12, 12] and [number for _, number in got[3:]] == [None] * 3
