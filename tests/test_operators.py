@@ -2,6 +2,7 @@
 
 import json
 import sqlite3
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -215,3 +216,15 @@ def test_sqlite(spark, tmp_path):
     assert dict(out.dtypes) == {"id": "bigint", "name": "string", "x": "double", "b": "binary", "any_": "string"}
     got = {r["id"]: r for r in out.collect()}
     assert sorted(got) == list(range(5, 200)) and got[7]["x"] == 3.5 and got[6]["x"] is None and got[8]["any_"] == "8" and got[9]["b"] == b"z"
+
+
+def test_text_search_normalises_within_the_jvm(spark):
+    """By the same form as unicodedata, and without a batch of texts in a Python worker."""
+    texts = ["Ｐｙ ﬁne", "été été", "각 한", "① ½ Å", "plain", "", "ΐ́ͅ \U0001d400\U0001f600", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = {r["id"]: r["t"] for r in C._normal(docs, "t").collect()}
+    assert got == {i: t if t is None else unicodedata.normalize("NFKC", t) for i, t in enumerate(texts)}
+    assert [r["id"] for r in C.search(docs, ["t"], "fine PY").collect()] == [0]
+    for df in (C.search(docs, ["t"], "fine"), C.index_terms(docs, "id", ["t"])):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "InPandas" not in plan and "InArrow" not in plan and "EvalPython" not in plan
