@@ -58,3 +58,27 @@ def test_day_numbers_beyond_year_9999(spark):
     duck = duckdb.sql(f"SELECT month(DATE '1899-12-30' + k::INTEGER) FROM (SELECT unnest({keys}) AS k)").fetchall()
     assert [text for text, _ in got] == [month for (month,) in duck]
     assert [number for _, number in got[:2]] == [12, 12] and [number for _, number in got[3:]] == [None] * 3
+
+
+def test_xml_parts_are_those_of_single_paths(spark):
+    """One evaluation in the plan for several paths, with the results of one for each."""
+    texts = ["<o><c id='1'>x</c></o>", "<o><c id=''>y<d>z</d></c></o>", "<o><d/></o>", "<o><c><d>only</d></c></o>", "", None]
+    docs = spark.createDataFrame([(t,) for t in texts], "x string")
+    x, tests, values = F.col("x"), ["/o/c", "/o/c/d"], ["/o/c", "/o/c/@id", "/o/c/d/text()"]
+    single = [S.xml_exists(x, p) for p in tests] + [S.xml_value(x, p) for p in values]
+    name = lambda found: [c.alias(f"c{i}") for i, c in enumerate(found)]
+    at_once = docs.select(*name(S.xml_parts(x, tests, values)))
+    assert at_once.dtypes == docs.select(*name(single)).dtypes
+    got = [tuple(r) for r in at_once.collect()]
+    assert got == [tuple(r) for r in docs.select(*name(single)).collect()]
+    assert got[:2] == [(1, 0, "x", "1", None), (1, 1, "yz", "", "z")] and got[4:] == [(None,) * 5] * 2
+    with pytest.raises(Exception, match="several nodes"):
+        docs.select(S.xml_parts(F.lit("<o><c>1</c><c>2</c></o>"), tests, ["/o/c"])[2]).collect()
+
+
+def test_fn_xml_parses_once(spark):
+    """Both columns share one evaluation; that of a path alone would be another."""
+    from skerry.plans import catalogue
+
+    plan = catalogue.QUERIES["fn_xml"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+    assert "xpath_string(" in plan and "xpath_boolean(" not in plan and "xpath(" not in plan
